@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sst, token_count
+from . import near_embed, ngram_join, packing, quality_rules, sst, token_count, toxicity
 from .runtime import table
 
 
+def op1_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embed.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", size=2048, end_id=0)
 
@@ -22,6 +34,22 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), "word_bpe_49k.json", limit=2048)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_best_fit_packing, op7_token_shards, op8_token_counts)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_embedding_near_dup,
+        op2_quality_rules,
+        op5_ngram_jaccard_join,
+        op6_best_fit_packing,
+        op7_token_shards,
+        op8_token_counts,
+        op9_toxicity,
+    )
+}
 
+#: Hashing models, tokenizers, trained classifiers and transitive closure have no SQL; tests hold each against brute force.
 ORACLE_SQL: dict[str, str] = {}
