@@ -243,3 +243,9 @@ def _set_hash(s: np.ndarray) -> tuple[int, int]:
     """128 bits of a sorted set of shingles."""
     digest = xxhash.xxh3_128_digest(s.tobytes())
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def one_of_each_group(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """The rows of `docs`, with all their columns, that are the least doc_id of their group, or have no doc_id."""
+    gone = jaccard_groups(docs, n, percent).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone"))
+    return docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from .labelled import sample
@@ -19,6 +20,18 @@ CATEGORIES = ("low_quality", "toxic", "toxic_low_quality")
 MOST, REJECTED_FROM = {0: 4000, 1: 2500}, 0.5
 
 
+def fitted(docs: DataFrame, labels: DataFrame) -> Broadcast:
+    """The chain, fitted on a bounded sample."""
+    found = sample(docs, labels, "toxic", MOST, ["quality", "toxic"])
+    toxic, low = found["toxic"].to_numpy() == 1, found["quality"].to_numpy() == 0
+    return docs.sparkSession.sparkContext.broadcast(fit_chain(found["text"].tolist(), [low, toxic, toxic & low], stems, pairs=False))
+
+
+def _probabilities(scorer: Scorer, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    p = scorer.probabilities(scorer.hashed([WORD.findall(t or "") for t in part.column("text").to_pylist()])[1])
+    return p, np.maximum(p[:, 1], p[:, 2]) >= REJECTED_FROM
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, a probability per category, toxic and kept (its opposite) for every row of `docs` (doc_id, text).
 
@@ -27,16 +40,24 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     text scores as one without words. Rows of null or repeated doc_id are answered each; an empty table gives no rows.
     Without toxic labels no text is toxic. Scoring is one pass without a shuffle.
     """
-    found = sample(docs, labels, "toxic", MOST, ["quality", "toxic"])
-    toxic, low = found["toxic"].to_numpy() == 1, found["quality"].to_numpy() == 0
-    fits = fit_chain(found["text"].tolist(), [low, toxic, toxic & low], stems, pairs=False)
-    shared = docs.sparkSession.sparkContext.broadcast(fits)
+    shared = fitted(docs, labels)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value, stems, pairs=False)
         for part in slices(batches, "text"):
-            p = scorer.probabilities(scorer.hashed([WORD.findall(t or "") for t in part.column("text").to_pylist()])[1])
-            toxic = np.maximum(p[:, 1], p[:, 2]) >= REJECTED_FROM
+            p, toxic = _probabilities(scorer, part)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(p[:, k]) for k in range(3)), pa.array(toxic), pa.array(~toxic)], ["doc_id", *CATEGORIES, "is_toxic", "kept"])
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(score, "doc_id long, low_quality double, toxic double, toxic_low_quality double, is_toxic boolean, kept boolean")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose text toxicity() keeps; in the same pass, without a join."""
+    shared = fitted(docs, labels)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value, stems, pairs=False)
+        for part in slices(batches, "text"):
+            yield part.filter(pa.array(~_probabilities(scorer, part)[1]))
+
+    return docs.mapInArrow(keep, docs.schema)
