@@ -32,22 +32,22 @@ def _features(words, grams, heads) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at, features, hashes = [], [], np.zeros(len(words), np.uint64)
     for rows, points in code_points(words):
         hashes[rows] = whole = word_hashes(points, 1)
-        at.append(rows)
-        features.append(whole % np.uint64(DIM))
+        at.append(rows.astype(np.int32))
+        features.append((whole % np.uint64(DIM)).astype(np.int32))
         for n in grams:
             h, ok = gram_hashes(points, n, 2)
             i, j = np.nonzero(ok)
-            at.append(rows[i])
-            features.append(h[i, j] % np.uint64(DIM))
+            at.append(rows[i].astype(np.int32))
+            features.append((h[i, j] % np.uint64(DIM)).astype(np.int32))
         for n in heads:
             if points.shape[1] > n:
                 h, ok = gram_hashes(points[:, : n + 1], n + 1, 3)
                 i = np.flatnonzero(ok[:, 0])
-                at.append(rows[i])
-                features.append(h[i, 0] % np.uint64(DIM))
+                at.append(rows[i].astype(np.int32))
+                features.append((h[i, 0] % np.uint64(DIM)).astype(np.int32))
     if not at:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), hashes
-    return np.concatenate(at), np.concatenate(features).astype(np.int64), hashes
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), hashes
+    return np.concatenate(at), np.concatenate(features), hashes
 
 
 def pair_features(h: np.ndarray) -> np.ndarray:
@@ -72,23 +72,31 @@ class Design:
         word, feature, hashes = describe(list(table))
         order = np.argsort(word, kind="stable")
         feature, ends = feature[order], np.searchsorted(word[order], np.arange(len(table) + 1))
-        docs, features, values = [], [], []
-        for i, at in enumerate(ats):
-            if not len(at):
-                continue
+        del word, order
+
+        def shares(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             own, count = np.unique(at, return_counts=True)
             lengths = ends[own + 1] - ends[own]
             take = np.repeat(ends[own] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
             f, c = feature[take], np.repeat(count, lengths)
             if pairs and len(at) > 1:
-                p = pair_features(hashes[at])
+                p = pair_features(hashes[at]).astype(f.dtype)
                 f, c = np.concatenate([f, p]), np.concatenate([c, np.ones(len(p), count.dtype)])
             u, inverse = np.unique(f, return_inverse=True)
-            docs.append(np.full(len(u), i))
-            features.append(u)
-            values.append(np.bincount(inverse, c) * (SCALE / (len(at) + SMOOTH)))
-        if not docs:
-            return cls(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), len(texts))
+            return u, np.bincount(inverse, c) * (SCALE / (len(at) + SMOOTH))
+
+        held = np.zeros(DIM, np.int32)  # features of under three texts are never chosen: they aren't kept
+        for at in ats:
+            if len(at):
+                held[shares(at)[0]] += 1
+        docs, features, values = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+        for i, at in enumerate(ats):
+            if len(at):
+                u, v = shares(at)
+                keep = held[u] >= 3
+                docs.append(np.full(int(keep.sum()), i, np.int32))
+                features.append(u[keep].astype(np.int32))
+                values.append(v[keep].astype(np.float32))
         return cls(np.concatenate(docs), np.concatenate(features), np.concatenate(values), len(texts))
 
     def rows(self, mask: np.ndarray) -> Design:

@@ -14,7 +14,7 @@ from .runtime import slices
 from .words import WORD, mix
 
 #: Labelled texts of low and of good quality that the model is fitted on, at most; the probability that keeps a text.
-MOST, KEPT_FROM = {0: 2000, 1: 3000}, 0.5
+MOST, KEPT_FROM = {0: 1200, 1: 1800}, 0.5
 
 _SPACE, _SYMBOLS, _WINDOW = "\x20\x09\x0a\x0b\x0c\x0d", "#*$%&|<>", 8
 

@@ -17,7 +17,7 @@ from .words import WORD
 #: The chain: text that is low in quality, then toxic text (the label), then toxic text that is low in quality as well.
 CATEGORIES = ("low_quality", "toxic", "toxic_low_quality")
 #: Labelled texts without and with toxicity that the chain is fitted on, at most; the probability that rejects a text.
-MOST, REJECTED_FROM = {0: 4000, 1: 2500}, 0.5
+MOST, REJECTED_FROM = {0: 2500, 1: 1500}, 0.5
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Broadcast:

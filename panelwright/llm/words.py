@@ -60,7 +60,7 @@ class WordTable(dict):
             self.new, self.used = [], 0
 
 
-def code_points(words: list[str], most_cells: int = 4 << 20):
+def code_points(words: list[str], most_cells: int = 1 << 20):
     """Yield (positions, matrix of code points padded by 0 and framed by 2 and 3) by classes of word length, in bounded blocks."""
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     width = 6
