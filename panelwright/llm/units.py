@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import chain
 
 import numpy as np
 
@@ -19,7 +20,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _STABLE = re.compile(r"(?<=\S) (?=\S)")
 #: A run of Latin letters with closing marks that both vocabularies split from it.
-_LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|%$*#&]+)")
+_LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|%$*#&]*)")
 
 
 def library(name: str):
@@ -29,6 +30,10 @@ def library(name: str):
     return Tokenizer.from_file(name if os.sep in name else public_tokenizers.path(name))
 
 
+#: Marks that end a word, and the code point after the Latin letters that count as plain.
+_MARKS, _LATIN_END = ".,!?;:|%$*#&", "\u0250"
+
+
 class _Units:
     """Units to what `code` makes of their ids; the library encodes the units of many texts in one call."""
 
@@ -43,7 +48,7 @@ class _Units:
     def learn(self, units: set[str]) -> None:
         known, plain, split = self.known, [], []
         for unit in units:
-            if m := _LETTERS_MARKS.fullmatch(unit):
+            if (m := _LETTERS_MARKS.fullmatch(unit)) and m[2]:
                 split.append((unit, m[1], m[2]))
             else:
                 plain.append(unit)
@@ -72,6 +77,117 @@ class _Units:
         return found
 
 
+class _Table(dict):
+    """Units to rows, and rows to ids: the ids of a unit are those of one or two pieces (letters, then marks)."""
+
+    def __init__(self, tokenizer, dtype: np.dtype, cap: int) -> None:
+        super().__init__()
+        self.tokenizer, self.dtype, self.cap = tokenizer, dtype, cap
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a space
+        self.opens[[i for token, i in vocabulary.items() if token[0] == "Ġ"]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.new: list[str] = []
+        self.pieces: dict[str | bytes, int] = {}  # marks are keyed as bytes: they follow letters, not a space
+        self.parts = np.zeros((1024, 2), np.int64)
+        self.starts, self.ends = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.flat, self.used = np.zeros(4096, self.dtype), 0
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = at = len(self)
+        self.new.append(unit)
+        return at
+
+    @staticmethod
+    def _room(array: np.ndarray, n: int) -> np.ndarray:
+        if n <= len(array):
+            return array
+        grown = np.zeros((2 * n, *array.shape[1:]), array.dtype)
+        grown[: len(array)] = array
+        return grown
+
+    def _store(self, at: list[int], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Ids of the pieces `at`, end to end."""
+        ends = self.used + np.cumsum(lengths)
+        self.starts[at], self.ends[at] = ends - lengths, ends
+        self.flat = self._room(self.flat, self.used + len(ids))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def learn(self) -> None:
+        pieces, n = self.pieces, len(self.pieces)
+        words: list[str] = []
+        word_at: list[int] = []
+        others: list[str] = []
+        other_at: list[int] = []
+        firsts, seconds = [], []
+        for unit in self.new:
+            word = unit.rstrip(_MARKS)
+            if letters := word.isalpha() and (word.isascii() or max(word) < _LATIN_END):
+                part = word
+            else:
+                part = unit
+            at = pieces.get(part)
+            if at is None:
+                at = pieces[part] = n
+                n += 1
+                if letters:
+                    words.append(part)
+                    word_at.append(at)
+                else:
+                    others.append(" " + part)
+                    other_at.append(at)
+            firsts.append(at)
+            if letters and len(word) < len(unit):
+                key = unit[len(word) :].encode()
+                at = pieces.get(key)
+                if at is None:
+                    at = pieces[key] = n
+                    n += 1
+                    others.append(unit[len(word) :])
+                    other_at.append(at)
+                seconds.append(at)
+            else:
+                seconds.append(-1)
+        self.starts, self.ends = self._room(self.starts, n), self._room(self.ends, n)
+        # many words in one text: each begins with the only token of its own that begins with a space
+        for k in range(0, len(words), 2000):
+            some = words[k : k + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) != len(some):
+                raise AssertionError("a word doesn't begin with one token of its own")
+            self._store(word_at[k : k + 2000], ids, np.diff(np.append(starts, len(ids))))
+        if others:
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+            self._store(other_at, np.fromiter(chain.from_iterable(lists), np.int64), np.fromiter(map(len, lists), np.int64, len(lists)))
+        base = len(self) - len(self.new)
+        self.parts = self._room(self.parts, len(self))
+        self.parts[base : len(self), 0], self.parts[base : len(self), 1] = firsts, seconds
+        self.new = []
+
+    def ids(self, lists: list[list[str]]) -> list[np.ndarray]:
+        """The ids of each list of units, end to end."""
+        if len(self) > self.cap:
+            self.clear()
+        n_units = np.fromiter(map(len, lists), np.int64, len(lists))
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), np.int64, int(n_units.sum()))
+        if self.new:
+            self.learn()
+        parts = self.parts[at]
+        held = parts >= 0
+        lengths = np.where(held, self.ends[parts] - self.starts[parts], 0)
+        per_unit = lengths.sum(1)
+        flat, starts = lengths[held], self.starts[parts[held]]
+        take = np.repeat(starts - (np.cumsum(flat) - flat), flat) + np.arange(int(flat.sum()))
+        whole = self.flat[take]
+        ends = np.append(0, np.cumsum(per_unit))[np.append(0, np.cumsum(n_units))]
+        return [whole[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
 class ByteEncoder:
     """Ids of whole texts under a byte-level vocabulary whose splitting rule gives a space to the word after it."""
 
@@ -79,8 +195,8 @@ class ByteEncoder:
         self.tokenizer = library(name)
         code = "H" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
         self.dtype = np.dtype(f"u{array(code).itemsize}")
-        value = lambda e: array(code, e.ids).tobytes()
-        self.body, self.head = _Units(self.tokenizer, " ", cap, value), _Units(self.tokenizer, "", cap // 10, value)
+        self.head = _Units(self.tokenizer, "", cap // 10, lambda e: array(code, e.ids).tobytes())
+        self.body = _Table(self.tokenizer, self.dtype, cap)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -88,8 +204,7 @@ class ByteEncoder:
         head = self.head.values([units[:1] for units in lists])
         for units in lists:
             del units[0]
-        body = self.body.values(lists)
-        return [np.frombuffer(first[0] + b"".join(rest), dtype=self.dtype) for first, rest in zip(head, body, strict=True)]
+        return [np.concatenate([np.frombuffer(first[0], self.dtype), rest]) for first, rest in zip(head, self.body.ids(lists), strict=True)]
 
 
 #: White space other than spaces and line feeds.
