@@ -65,5 +65,5 @@ def surprise(c: Column) -> Column:
 def bounded(c: Column, most: int) -> Column:
     """At most `most` characters, cut at the last space within them if there is one."""
     head = F.substring(c, 1, most)
-    cut = F.regexp_replace(F.regexp_replace(head, r"[ \n][^ \n]*$", ""), r"[ \n]+$", "")
-    return F.when(F.length(c) <= most, c).when(F.substring(c, most + 1, 1).isin(" ", "\n"), F.regexp_replace(head, r"[ \n]+$", "")).otherwise(cut)
+    cut = F.regexp_replace(F.regexp_replace(head, r"[ \n][^ \n]*\z", ""), r"[ \n]+\z", "")
+    return F.when(F.length(c) <= most, c).when(F.substring(c, most + 1, 1).rlike(r"^[ \n]\z"), F.regexp_replace(head, r"[ \n]+\z", "")).otherwise(cut)
