@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +18,12 @@ from .components import Forest, components
 from .runtime import slices, written
 from .words import WordTable, mix
 
-#: Counters that order n-grams by rarity, shared by n-grams of one hash; a fixed size, whatever the input.
-COUNTERS = 1 << 19
+#: Counters of words, shared by words of one hash; a fixed size, whatever the input. An n-gram is as rare as its rarest word.
+COUNTERS = 1 << 21
 #: Counters in one row of the shuffle that adds them up.
-CHUNK = 1 << 13
+CHUNK = 1 << 15
 #: Documents of one family that one task compares; larger families are cut into blocks by length and by a hash.
-BLOCK = 2048
+BLOCK = 8192
 
 _LOW56 = np.uint64((1 << 56) - 1)
 
@@ -40,24 +41,29 @@ def _table() -> WordTable:
     return _TABLE[0]
 
 
-def shingles(texts: list[str | None], n: int) -> list[np.ndarray]:
-    """The distinct n-word shingles of each text as sorted 64-bit hashes; the whole of a shorter sequence is one."""
+def shingles(texts: list[str | None], n: int, levels: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per text the distinct n-word shingles as sorted 64-bit hashes, the whole of a shorter sequence being one; and, given
+    levels of words, the same shingles as integers that sort rare-first: the level of the rarest word, then the hash."""
     table = _table()
     table.trim()
     # bytes.lower() changes A-Z only, and bytes.split() splits at 0x20 and 0x09-0x0D only
     rows = [table.at((t or "").encode("utf-8", "surrogatepass").lower().split()) for t in texts]
     hashes = table.filled()
+    level = levels[_counter(hashes)] if levels is not None else np.zeros(len(hashes), np.uint8)
     out = []
     for at in rows:
-        h = hashes[at]
+        h, rare = hashes[at], level[at]
         width = min(n, len(h))
         if not width:
-            out.append(np.zeros(0, np.uint64))
+            out.append((np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
             continue
-        acc = np.full(len(h) - width + 1, width, np.uint64)
+        m = len(h) - width + 1
+        acc, least = np.full(m, width, np.uint64), rare[:m]
         for k in range(width):
-            acc = mix(acc ^ h[k : k + len(acc)])
-        out.append(np.unique(acc))
+            acc = mix(acc ^ h[k : k + m])
+            least = np.minimum(least, rare[k : k + m])
+        own, first = np.unique(acc, return_index=True)
+        out.append((own, np.sort((least[first].astype(np.uint64) << np.uint64(56)) | (own & _LOW56)) if levels is not None else own))
     return out
 
 
@@ -65,29 +71,28 @@ def _counter(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - (COUNTERS - 1).bit_length())).astype(np.int64)
 
 
-def _ordered(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """Shingles as integers that sort rare-first: the level of their counter, then the hash."""
-    return np.sort((levels[_counter(hashes)].astype(np.uint64) << np.uint64(56)) | (hashes & _LOW56))
-
-
 def _need(total: np.ndarray | int, percent: int):
     """The least overlap that two sets of that total size need: J >= p/100 means (100 + p) * overlap >= p * total."""
     return -(-percent * total // (100 + percent))
 
 
-def rarity(docs: DataFrame, n: int) -> np.ndarray:
-    """A level of 0 to 255 per counter, higher for counters of more shingles of all documents.
+def rarity(docs: DataFrame) -> np.ndarray:
+    """A level of 0 to 255 per counter, higher for counters of more words of all documents.
 
     Tasks count in arrays of COUNTERS integers, sent in chunks of CHUNK and added in two steps, the first dealt by the
     sender, so that no task gets a number of chunks that grows without bound. The driver gets COUNTERS bytes.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seed = np.zeros(COUNTERS, np.int64), 0
+        total, seed, table = np.zeros(COUNTERS, np.int64), 0, _table()
         for part in slices(batches, "text"):
-            sets = shingles(part.column("text").to_pylist(), n)
-            total += np.bincount(_counter(np.concatenate(sets)), minlength=COUNTERS)
-            seed = seed or xxhash.xxh3_64_intdigest(np.concatenate(sets).tobytes()) % 256
+            table.trim()
+            rows = [table.at((t or "").encode("utf-8", "surrogatepass").lower().split()) for t in part.column("text").to_pylist()]
+            hashes = table.filled()
+            if any(map(len, rows)):
+                each = np.bincount(np.concatenate(rows), minlength=len(hashes))[: len(table)]
+                total += np.bincount(_counter(hashes[: len(table)]), each, minlength=COUNTERS).astype(np.int64)
+                seed = seed or xxhash.xxh3_64_intdigest(each.tobytes()) % 256
         if total.any():
             rows = [(k, seed, zlib.compress(total[k * CHUNK : (k + 1) * CHUNK].tobytes(), 1)) for k in range(COUNTERS // CHUNK)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["k", "salt", "counts"])
@@ -122,8 +127,8 @@ def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 2) -> int:
 
 
 def linked_blocks(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Forest:
-    """Union of linked sets (rare-first ordered arrays). `side`: 0 and 1 for two blocks, whose own pairs another task
-    compares; all 2 for one block.
+    """Union of linked sets (rare-first ordered arrays). `side` is 0 or 1 in two blocks whose own pairs other tasks
+    compare, 2 in a block by itself, and 3 or 4 in a rung and the rung above, whose own pairs another task compares.
 
     Sets are taken by length. One finds its candidates by the postings of earlier sets' prefixes, under the length and
     positional filters; those already in one component with it need no more; the suffix filter bounds the others, and
@@ -147,7 +152,7 @@ def linked_blocks(sets: list[np.ndarray], side: np.ndarray, percent: int) -> For
         if found:
             js, q, p = np.concatenate(found), np.concatenate(there), np.concatenate(here)
             ok = 100 * sizes[js] >= percent * n
-            if side[i] != 2:
+            if side[i] in (0, 1, 4):
                 ok &= side[js] != side[i]
             js, q, p = js[ok], q[ok], p[ok]
             js, first = np.unique(js, return_index=True)  # the first common prefix shingle of each
@@ -181,54 +186,71 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     are answered each. An empty table gives no rows.
 
     Plan: equal sets become a class, represented by its least doc_id, by partial minima. Each class deals out the
-    prefix of its set, rarest shingles first. Two sets that link share a prefix shingle, so both are joined with that
-    shingle's least class, and the components of that join are families that hold every link. Families are compared
-    in tasks of bounded blocks: by classes of length, whose neighbours alone can link, and within one by a hash; they
-    return stars, at most a row a document. Exact copies are never paired, nor pairs of one component verified again,
+    prefix of its set, rarest shingles first. Two sets that link share a prefix shingle and stand on one rung of a
+    ladder of lengths or on neighbouring ones, so both are joined with the least class that has this shingle there, and
+    the components of that join are families that hold every link. Families are compared in tasks of bounded blocks, by
+    rungs and within one by a hash; they return stars, at most a row a document. Exact copies are never paired, nor pairs of one component verified again,
     so no pair is ever a row. The driver holds COUNTERS bytes.
     """
     spark = docs.sparkSession
     docs = docs.select(docs["doc_id"].cast("long"), docs["text"])
-    levels = spark.sparkContext.broadcast(rarity(docs, n))
+    levels = spark.sparkContext.broadcast(rarity(docs))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             rows: list[tuple] = []
-            for s in shingles(part.column("text").to_pylist(), n):
-                head = _ordered(s, levels.value)[: len(s) - -(-percent * len(s) // 100) + 1] if len(s) else s
+            for s, ordered in shingles(part.column("text").to_pylist(), n, levels.value):
+                head = ordered[: len(s) - -(-percent * len(s) // 100) + 1] if len(s) else s
                 rows.append((len(s), *_set_hash(s), head.view(np.int64)))
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.list_(pa.int64()))], ["doc_id", "n_shingles", "h1", "h2", "prefix"])
 
     sets = written(docs.mapInArrow(prefixes, "doc_id long, n_shingles long, h1 long, h2 long, prefix array<long>"), "sets")
     classes = sets.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix")).where("rep is not null")
-    grams = classes.select("rep", F.explode("prefix").alias("gram"))
-    least = grams.groupBy("gram").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b < top").select(F.col("gram").alias("g"), "b")
-    family = written(components(grams.join(least, F.col("gram") == F.col("g")).select(F.col("rep").alias("a"), "b")), "families")
+    # a link bridges at most one rung of this ladder of lengths
+    step = float(np.log(100 / percent)) * (1 + 1e-9)
+    rung = F.floor(F.log("n") / step).cast("int")
+    grams = classes.select("rep", "n", F.explode("prefix").alias("gram"))
+    shared = grams.groupBy("gram").agg(F.min("rep").alias("least"), F.max("rep").alias("top")).where("least < top").select(F.col("gram").alias("g"))
+    met = written(grams.join(shared, F.col("gram") == F.col("g")).select("gram", "rep", F.explode(F.array(rung, rung + 1)).alias("rung")), "met")
+    least = met.groupBy("gram", "rung").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b < top").select("gram", "rung", "b")
+    family = written(components(met.join(least, ["gram", "rung"]).select(F.col("rep").alias("a"), "b")), "families")
 
     reps = sets.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"))
-    sizes = family.groupBy("component").agg(F.count("*").alias("members"))
-    member = family.join(reps, "node").join(sizes, "component")
-    # one block for a small family; else by length, a class being the factor that a link can bridge, and by a hash
-    step = float(np.log(100 / percent)) * (1 + 1e-9)
-    salts = F.ceil(F.col("members") / BLOCK).cast("int")
+    member = family.join(reps, "node").withColumn("rung", rung)
+    sizes = member.groupBy("component", "rung").agg(F.count("*").alias("k")).groupBy("component").agg(F.sum("k").alias("members"), F.max("k").alias("most"))
+    member = member.join(sizes, "component")
+    # one block for a small family; else by rung, whose neighbours alone can link, and by a hash
+    salts = F.ceil(F.col("most") / BLOCK).cast("int")
     small = F.col("members") <= BLOCK
-    member = member.select("node", "component", F.col("h1").alias("own"), small.alias("small"), salts.alias("salts"), F.when(small, 0).otherwise(F.floor(F.log("n") / step)).cast("int").alias("rung"), F.when(small, 0).otherwise(F.pmod(F.xxhash64("node"), salts)).cast("int").alias("salt"))
-    # a pair of blocks is named by its lower and its higher block; a block meets itself, and all of its own and the next rung
-    here, there = F.struct("rung", "salt"), F.col("o")
-    others = F.when(F.col("small"), F.array(here)).otherwise(F.flatten(F.transform(F.array(F.col("rung") - 1, F.col("rung"), F.col("rung") + 1), lambda r: F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda k: F.struct(r.alias("rung"), k.cast("int").alias("salt"))))))
-    dealt = member.withColumn("o", F.explode(others)).select("node", "component", "own", F.least(here, there).alias("low"), F.greatest(here, there).alias("high"), F.when(here == there, 2).when(here < there, 0).otherwise(1).alias("side"))
-    texts = dealt.join(docs, F.col("node") == F.col("doc_id")).select("component", "low", "high", "side", "node", "own", "text")
+    member = member.select("node", "component", F.col("h1").alias("own"), small.alias("small"), salts.alias("salts"), F.when(small, 0).otherwise(F.col("rung")).alias("rung"), F.when(small, 0).otherwise(F.pmod(F.xxhash64("node"), salts)).cast("int").alias("salt"))
+    # a task holds one family; or a rung and the rung above; or two blocks of one rung or of neighbouring ones
+    here = F.struct("rung", "salt")
+    cell = lambda low, high, side: F.struct(low.alias("low"), high.alias("high"), side.alias("side"))
+    at = lambda r: F.struct(r.alias("rung"), F.lit(0).alias("salt"))
+    blocks = F.flatten(F.transform(F.array(F.col("rung") - 1, F.col("rung"), F.col("rung") + 1), lambda r: F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda k: F.struct(r.alias("rung"), k.cast("int").alias("salt")))))
+    cells = F.when(F.col("small"), F.array(cell(here, here, F.lit(2)))).when(F.col("salts") == 1, F.array(cell(here, at(F.col("rung") + 1), F.lit(3)), cell(at(F.col("rung") - 1), here, F.lit(4))))
+    cells = cells.otherwise(F.transform(blocks, lambda o: cell(F.least(here, o), F.greatest(here, o), F.when(here == o, 2).when(here < o, 0).otherwise(1))))
+    dealt = member.select("node", "component", "own", F.explode(cells).alias("c")).select("node", "component", "own", "c.*")
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):  # the shuffle carries each text in a third of its bytes
+            zipper = zstandard.ZstdCompressor(level=1)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([zipper.compress((t or "").encode("utf-8", "surrogatepass")) for t in part.column("text").to_pylist()], pa.binary())], ["doc_id", "text"])
+
+    squeezed = docs.mapInArrow(squeeze, "doc_id long, text binary")
+    texts = dealt.join(squeezed, F.col("node") == F.col("doc_id")).select("component", "low", "high", "side", "node", "own", "text")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        raw = shingles(rows["text"].tolist(), n)
-        good = [k for k, (s, own) in enumerate(zip(raw, rows["own"], strict=True)) if _set_hash(s)[0] == own]  # not another row of that doc_id
+        unzip = zstandard.ZstdDecompressor().decompress
+        raw = shingles([unzip(bytes(t)).decode("utf-8", "surrogatepass") for t in rows["text"]], n, levels.value)
+        good = [k for k, ((s, _), own) in enumerate(zip(raw, rows["own"], strict=True)) if _set_hash(s)[0] == own]  # not another row of that doc_id
         rows = rows.iloc[good]
         node, side = rows["node"].to_numpy(), rows["side"].to_numpy()
         if not len(node):
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
         # a block that meets itself is one block; of two, the same side's pairs belong to another task
-        forest = linked_blocks([_ordered(raw[k], levels.value) for k in good], side, percent)
+        forest = linked_blocks([raw[k][1] for k in good], side, percent)
         up = forest.roots()
         moved = np.flatnonzero(up != np.arange(len(up)))
         return pd.DataFrame({"a": node[moved], "b": node[up[moved]]})

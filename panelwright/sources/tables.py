@@ -31,8 +31,8 @@ def read_missing_dots(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def unique_bars(bars: DataFrame) -> DataFrame:
     """Fails on a repeated (symbol, timestamp) when its rows are computed."""
-    n = F.count("*")
-    return bars.groupBy("symbol", "timestamp_utc").agg(F.first("open").alias("open"), F.first("close").alias("close"), n.alias("n")).withColumn("n", F.when(F.col("n") > 1, F.raise_error(F.lit("repeated bar")).cast("long")).otherwise(F.col("n"))).drop("n")
+    one = F.when(F.count("*") == 1, F.first("open")).otherwise(F.raise_error(F.lit("repeated bar")).cast("double"))
+    return bars.groupBy("symbol", "timestamp_utc").agg(one.alias("open"), F.first("close").alias("close"))
 
 
 def complete_chunks(spark: SparkSession, manifests: str) -> DataFrame:
