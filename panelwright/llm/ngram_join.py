@@ -22,8 +22,10 @@ from .words import WordTable, mix
 COUNTERS = 1 << 21
 #: Counters in one row of the shuffle that adds them up.
 CHUNK = 1 << 15
-#: Documents of one family that one task compares; larger families are cut into blocks by length and by a hash.
-BLOCK = 8192
+#: Documents, and shingles of them, that one task compares; larger families are cut into blocks by length and by a hash.
+BLOCK, SHINGLES = 8192, 1 << 21
+#: Bytes of text that a task holds as words at a time.
+SLICE = 1 << 21
 
 _LOW56 = np.uint64((1 << 56) - 1)
 
@@ -37,7 +39,7 @@ _TABLE: list[WordTable] = []
 
 def _table() -> WordTable:
     if not _TABLE:
-        _TABLE.append(WordTable(_hashes))
+        _TABLE.append(WordTable(_hashes, cap=150_000))
     return _TABLE[0]
 
 
@@ -85,7 +87,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seed, table = np.zeros(COUNTERS, np.int64), 0, _table()
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             table.trim()
             rows = [table.at((t or "").encode("utf-8", "surrogatepass").lower().split()) for t in part.column("text").to_pylist()]
             hashes = table.filled()
@@ -139,12 +141,17 @@ def linked_blocks(sets: list[np.ndarray], side: np.ndarray, percent: int) -> For
     prefixes = sizes - -(-percent * sizes // 100) + 1
     postings: dict[int, list[int]] = defaultdict(list)
     places: dict[int, list[int]] = defaultdict(list)
+    heads, times = np.unique(np.concatenate([x[:p] for x, p in zip(sets, prefixes.tolist(), strict=True)]), return_counts=True)
+    shared = heads[times > 1]  # a shingle of one prefix only finds nothing
     roots, merged = forest.up, True
     for i in np.argsort(sizes, kind="stable").tolist():
         x, n = sets[i], int(sizes[i])
         found, here, there = [], [], []
-        head = x[: prefixes[i]].tolist()
-        for p, gram in enumerate(head):
+        head = x[: prefixes[i]]
+        at = np.minimum(np.searchsorted(shared, head), max(0, len(shared) - 1))
+        common = np.flatnonzero(shared[at] == head) if len(shared) else np.zeros(0, np.int64)
+        head = list(zip(common.tolist(), head[common].tolist(), strict=True))
+        for p, gram in head:
             if got := postings.get(gram):
                 found.append(np.array(got))
                 there.append(np.array(places[gram]))
@@ -171,7 +178,7 @@ def linked_blocks(sets: list[np.ndarray], side: np.ndarray, percent: int) -> For
                 if len(np.intersect1d(x, sets[j], assume_unique=True)) >= need:
                     forest.join(i, j)
                     merged = True
-        for p, gram in enumerate(head):
+        for p, gram in head:
             postings[gram].append(i)
             places[gram].append(p)
     return forest
@@ -197,7 +204,7 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     levels = spark.sparkContext.broadcast(rarity(docs))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             rows: list[tuple] = []
             for s, ordered in shingles(part.column("text").to_pylist(), n, levels.value):
                 head = ordered[: len(s) - -(-percent * len(s) // 100) + 1] if len(s) else s
@@ -218,11 +225,12 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
     reps = sets.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"))
     member = family.join(reps, "node").withColumn("rung", rung)
-    sizes = member.groupBy("component", "rung").agg(F.count("*").alias("k")).groupBy("component").agg(F.sum("k").alias("members"), F.max("k").alias("most"))
+    load = F.greatest(F.count("*") / BLOCK, F.sum("n") / SHINGLES)  # in blocks
+    sizes = member.groupBy("component", "rung").agg(load.alias("k")).groupBy("component").agg(F.sum("k").alias("whole"), F.max("k").alias("most"))
     member = member.join(sizes, "component")
     # one block for a small family; else by rung, whose neighbours alone can link, and by a hash
-    salts = F.ceil(F.col("most") / BLOCK).cast("int")
-    small = F.col("members") <= BLOCK
+    salts = F.ceil("most").cast("int")
+    small = F.col("whole") <= 1
     member = member.select("node", "component", F.col("h1").alias("own"), small.alias("small"), salts.alias("salts"), F.when(small, 0).otherwise(F.col("rung")).alias("rung"), F.when(small, 0).otherwise(F.pmod(F.xxhash64("node"), salts)).cast("int").alias("salt"))
     # a task holds one family; or a rung and the rung above; or two blocks of one rung or of neighbouring ones
     here = F.struct("rung", "salt")
@@ -242,15 +250,22 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     texts = dealt.join(squeezed, F.col("node") == F.col("doc_id")).select("component", "low", "high", "side", "node", "own", "text")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        unzip = zstandard.ZstdDecompressor().decompress
-        raw = shingles([unzip(bytes(t)).decode("utf-8", "surrogatepass") for t in rows["text"]], n, levels.value)
-        good = [k for k, ((s, _), own) in enumerate(zip(raw, rows["own"], strict=True)) if _set_hash(s)[0] == own]  # not another row of that doc_id
+        unzip, texts, sets, good, held = zstandard.ZstdDecompressor().decompress, [], [], [], 0
+        for k, (packed, own) in enumerate(zip(rows["text"], rows["own"], strict=True)):
+            texts.append((k, own, unzip(bytes(packed)).decode("utf-8", "surrogatepass")))
+            held += len(texts[-1][2])
+            if held > SLICE or k + 1 == len(rows):
+                for (at, want, _), (s, ordered) in zip(texts, shingles([t for _, _, t in texts], n, levels.value), strict=True):
+                    if _set_hash(s)[0] == want:  # not another row of that doc_id
+                        good.append(at)
+                        sets.append(ordered)
+                texts, held = [], 0
         rows = rows.iloc[good]
         node, side = rows["node"].to_numpy(), rows["side"].to_numpy()
         if not len(node):
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
         # a block that meets itself is one block; of two, the same side's pairs belong to another task
-        forest = linked_blocks([raw[k][1] for k in good], side, percent)
+        forest = linked_blocks(sets, side, percent)
         up = forest.roots()
         moved = np.flatnonzero(up != np.arange(len(up)))
         return pd.DataFrame({"a": node[moved], "b": node[up[moved]]})
