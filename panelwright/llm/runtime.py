@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,7 +61,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
                 start, size = i, 0
             size += n
         yield batch.slice(start)
+    tidy()
 
 
-def null_safe_min(column: str) -> Column:
-    return F.min(F.col(column))
+def tidy() -> None:
+    """Give a worker's free memory back to the system: workers are kept between tasks, and several kinds of them at once."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None

@@ -191,7 +191,7 @@ class _Table(dict):
 class ByteEncoder:
     """Ids of whole texts under a byte-level vocabulary whose splitting rule gives a space to the word after it."""
 
-    def __init__(self, name: str, cap: int = 500_000) -> None:
+    def __init__(self, name: str, cap: int = 300_000) -> None:
         self.tokenizer = library(name)
         code = "H" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
         self.dtype = np.dtype(f"u{array(code).itemsize}")
