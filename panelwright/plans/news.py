@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -109,3 +115,64 @@ def verbatim_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select("item_id", F.md5("text").alias("k"), F.length("text").cast("long").alias("chars"))
     lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line")).select(F.md5("line").alias("k")).distinct().withColumn("hit", F.lit(1))
     return b.join(lines, "k", "left").select("item_id", "chars", F.coalesce("hit", F.lit(0)).alias("verbatim"))
+
+
+#: Bytes of a passage's anchor, at most; a power of two.
+ANCHOR = 64
+_FACTOR = 0x9E3779B97F4A7C15
+
+
+def _rolled(raw: bytes) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, hashes of all runs of n bytes) for n = 1, 2, 4, ... up to ANCHOR, each from two halves of the one before."""
+    h, n, factor = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1), 1, _FACTOR
+    while n <= ANCHOR and len(h):
+        yield n, h
+        h = h[:-n] * np.uint64(factor) + h[n:]
+        n, factor = 2 * n, factor * factor % (1 << 64)
+
+
+class Passages:
+    """Finds which of many passages stand verbatim in a text: hashes of their first bytes propose, a whole comparison decides."""
+
+    def __init__(self, passages: list[str]) -> None:
+        self.everywhere = [p for p in passages if not p]
+        self.anchored: dict[int, dict[int, list[tuple[str, bytes]]]] = defaultdict(lambda: defaultdict(list))
+        for p in filter(None, passages):
+            raw = p.encode()
+            n = min(ANCHOR, 1 << len(raw).bit_length() - 1)
+            self.anchored[n][int(dict(_rolled(raw[:n]))[n][0])].append((p, raw))
+        self.marked = {n: np.zeros(1 << 16, bool) for n in self.anchored}
+        for n, own in self.anchored.items():
+            self.marked[n][[h >> 48 for h in own]] = True
+
+    def found(self, text: str, known: set[str]) -> set[str]:
+        """The passages in `text` that aren't in `known`."""
+        raw = text.encode()
+        out = set(self.everywhere) - known
+        for n, h in _rolled(raw):
+            if n not in self.anchored:
+                continue
+            for value in np.unique(h[self.marked[n][h >> np.uint64(48)]]).tolist():
+                out.update(p for p, own in self.anchored[n].get(value, ()) if p not in known and own in raw)
+        return out
+
+
+@query("""SELECT item_id, length(text) AS chars, CAST(EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text)) AS INTEGER) AS verbatim FROM benchmark b""")
+def verbatim_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a passage stands verbatim anywhere in some document, also within a line or across lines.
+
+    Documents are read once, without a shuffle; each worker holds the distinct passages.
+    """
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.md5("text").alias("k"), F.length("text").cast("long").alias("chars"), "text")
+    shared = spark.sparkContext.broadcast([r.text for r in b.where("text IS NOT NULL").select("text").distinct().collect()])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passages, known = Passages(shared.value), set()
+        for batch in batches:
+            for text in batch.column("text"):
+                if text.is_valid:
+                    known |= passages.found(text.as_py(), known)
+        yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(p.encode()).hexdigest() for p in known], pa.string())], ["k"])
+
+    hits = table(spark, sf_dir, "documents").select("text").mapInArrow(search, "k string").distinct().withColumn("hit", F.lit(1))
+    return b.join(hits, "k", "left").select("item_id", "chars", F.coalesce("hit", F.lit(0)).alias("verbatim"))
