@@ -10,6 +10,8 @@ from ..sources.tables import table
 from .registry import query
 
 LATIN = r"[^a-zA-Z0-9]+"
+#: Parts over which the documents of one linkage key are dealt.
+SALTS = 16
 
 
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,6 +130,30 @@ def match_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("doc_id").agg(F.min_by("other", F.struct("priority", "other")).alias("match"), F.min("priority").alias("priority"))
 
 
+_BEST = r"""WITH d AS (SELECT DISTINCT doc_id, md5(text) AS whole, md5(split_part(text, chr(10), 1)) AS first, n_chars FROM documents), k AS (SELECT DISTINCT doc_id, 1 AS priority, whole AS key FROM d WHERE whole IS NOT NULL UNION ALL SELECT DISTINCT doc_id, 2, first || ':' || n_chars FROM d WHERE first IS NOT NULL AND n_chars IS NOT NULL),
+ w AS (SELECT doc_id, priority, CASE WHEN row_number() OVER g = 1 THEN lead(doc_id) OVER g ELSE first_value(doc_id) OVER g END AS other FROM k WHERE doc_id IS NOT NULL WINDOW g AS (PARTITION BY priority, key ORDER BY doc_id))
+ SELECT doc_id, arg_min(other, row(priority, other)) AS match, min(priority) AS priority FROM w WHERE other IS NOT NULL GROUP BY 1"""
+
+
+@query(_BEST)
+def match_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's best other document by the whole text, else by first line and length; of equals the least.
+
+    A key's documents all match its least, which matches the next; both come from aggregation, so no pairs are made.
+    """
+    first = F.concat(F.md5(F.split("text", "\n", 2)[0]), F.lit(":"), F.col("n_chars").cast("string"))
+    both = F.array(*[F.struct(F.lit(p).alias("priority"), k.alias("key")) for p, k in ((1, F.md5("text")), (2, first))])
+    rows = docs_of(spark, sf_dir).where("doc_id IS NOT NULL").select("doc_id", F.explode(both).alias("k")).select("doc_id", "k.priority", "k.key").where("key IS NOT NULL")
+    shared = rows.groupBy("priority", "key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("priority", "key", "least")
+    # documents of a key are dealt over salts, so a large group isn't one task's
+    salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    m = rows.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(salted, ["priority", "key", "salt"])
+    others = m.where("doc_id <> least")
+    following = others.groupBy("priority", "key", "least").agg(F.min("doc_id").alias("other"))
+    found = others.select("doc_id", "priority", F.col("least").alias("other")).union(following.select(F.col("least").alias("doc_id"), "priority", "other"))
+    return found.groupBy("doc_id").agg(F.min_by("other", F.struct("priority", "other")).alias("match"), F.min("priority").alias("priority"))
+
+
 @query("SELECT doc_id, sha256('v1' || chr(31) || source || chr(31) || doc_id) AS assignment, CAST(CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) % 16 AS BIGINT) AS shard FROM documents")
 def assignment_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs_of(spark, sf_dir).select("doc_id", T.stable_hash(F.lit("v1"), F.col("source"), F.col("doc_id").cast("string")).alias("assignment"), T.hash_shard(F.col("doc_id").cast("string"), 16).alias("shard"))
