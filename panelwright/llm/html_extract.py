@@ -32,6 +32,9 @@ LAYOUT = frozenset("has no with without".split())
 #: Words of a class, identifier, role or itemprop that mark the article.
 ARTICLE = frozenset("article articlebody main content story post entry".split())
 
+#: Factor of a path's ratio that the article mark gives, at most.
+MARK = 4.0
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']|"[^"]*"|'[^']*')*|[^>]*)(?:>|\Z)""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _PARTS = re.compile(r"[a-z]+")
@@ -43,11 +46,16 @@ _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaptio
 
 @dataclass
 class Block:
-    """A run of text that no block element interrupts: its path, text and linked characters."""
+    """A run of text that no block element interrupts: its path, text and linked characters.
+
+    `within` numbers the elements around it, outermost first; `marked` is the outermost one marked as the article, or -1.
+    """
 
     path: tuple[str, ...]
     furniture: bool
     article: bool
+    within: tuple[int, ...] = ()
+    marked: int = -1
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -71,17 +79,17 @@ def _marks(attributes: str) -> tuple[str, bool, bool]:
 
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page in order. Unclosed elements end where HTML lets them end; an unfinished tag is dropped."""
-    stack: list[tuple[str, str, bool, bool]] = []  # element, its name in the path, furniture, article
+    stack: list[tuple[str, str, bool, bool, int]] = []  # element, its name in the path, furniture, article, number
     out: list[Block] = []
     current: Block | None = None
-    links, at = 0, 0
+    links, at, number = 0, 0, 0
 
     def add(raw: str) -> None:
         nonlocal current
         if not raw:
             return
         if current is None:
-            current = Block(tuple(x[1] for x in stack), any(x[2] for x in stack), any(x[3] for x in stack))
+            current = Block(tuple(x[1] for x in stack), any(x[2] for x in stack), any(x[3] for x in stack), tuple(x[4] for x in stack), next((x[4] for x in stack if x[3]), -1))
             out.append(current)
         text = unescape(raw) if "&" in raw else raw
         current.parts.append(text)
@@ -130,20 +138,39 @@ def blocks(html: str) -> list[Block]:
             article = furniture = False
         if tag == "header":
             furniture |= not any(x[3] for x in stack)
-        stack.append((tag, tag + name, furniture or tag in NEVER, article))
+        stack.append((tag, tag + name, furniture or tag in NEVER, article, number))
+        number += 1
     add(html[at:])
     for b in out:
         b.text = _SPACE.sub(" ", "".join(b.parts)).strip()
     return [b for b in out if b.text]
 
 
+def _bonus(left: list[Block], plain: np.ndarray) -> np.ndarray:
+    """Each block's factor for the article mark: 1 without it, else 1 to MARK by text.
+
+    The unlinked characters of the marked element are weighed against those of the largest unmarked element that holds
+    no marked one: cards beside a long unmarked body gain next to nothing, an article beside short boxes nearly MARK.
+    """
+    around = {k for b in left if b.article for k in b.within}
+    marked: dict[int, float] = defaultdict(float)
+    others: dict[int, float] = defaultdict(float)
+    for b, n in zip(left, plain.tolist(), strict=True):
+        if b.article:
+            marked[b.marked] += n
+        else:
+            others[next((k for k in b.within if k not in around), -1)] += n
+    rival = max(others.values(), default=0.0)
+    return np.array([1 + (MARK - 1) * marked[b.marked] / max(marked[b.marked] + rival, 1.0) if b.article else 1.0 for b in left])
+
+
 def content(found: list[Block], threshold: float = 0.08) -> list[Block]:
     """The blocks of main text.
 
     Per path: unlinked characters and punctuation per node, damped by the share of linked text. Nodes' ratios are
-    smoothed along the page and fused with their path's; a node is content if the fused ratio is at least `threshold`
-    of the largest. Blocks that lie directly in the container of the strongest path belong to it however short, as do
-    all that lie in an element marked as the article, unless they are links alone. Furniture never counts.
+    raised by a bounded bonus for the article mark, smoothed along the page and fused with their path's; a node is
+    content if the fused ratio is at least `threshold` of the largest, whether marked or not. Blocks that lie directly
+    in the container of the strongest path belong to it however short. Blocks of links alone and furniture never count.
     """
     left = [b for b in found if not b.furniture]
     if not left:
@@ -155,26 +182,23 @@ def content(found: list[Block], threshold: float = 0.08) -> list[Block]:
     linked = np.minimum(length, [b.linked for b in left])
     marks = np.array([len(_MARKS.findall(b.text)) for b in left], float)
     ratio = np.zeros(len(left))
-    for path, own in groups.items():
+    for own in groups.values():
         n, text = len(own), length[own].sum()
         plain = 1 - linked[own].sum() / text
-        boost = 4.0 if left[own[0]].article else 1.0
-        ratio[own] = boost * plain**2 * np.log1p(text / n) * np.log1p(text) * (1 + np.log1p(marks[own].sum() / n))
+        ratio[own] = plain**2 * np.log1p(text / n) * np.log1p(text) * (1 + np.log1p(marks[own].sum() / n))
+    ratio *= _bonus(left, length - linked)
     kernel = np.array([0.06, 0.24, 0.4, 0.24, 0.06])
     smooth = np.convolve(np.pad(ratio, 2, mode="edge"), kernel, mode="valid")
     fused = np.sqrt(ratio * smooth)
     best = int(fused.argmax())
-    container, in_article = left[best].path[:-1] if left[best].path[-1:] and left[best].path[-1].split(".")[0] in _LEAVES else left[best].path, left[best].article
+    container = left[best].path[:-1] if left[best].path[-1:] and left[best].path[-1].split(".")[0] in _LEAVES else left[best].path
     limit = threshold * fused[best]
     chosen = []
     for i, b in enumerate(left):
-        mostly_links = linked[i] > 0.5 * length[i]
-        if in_article:
-            keep = b.article and not (mostly_links and b.path[-1].split(".")[0] in ("li", "ul", "div"))
-        else:
-            direct = b.path == container or b.path[:-1] == container and b.path[-1].split(".")[0] in _LEAVES
-            keep = not mostly_links and (direct or fused[i] >= limit)
-        if keep:
+        leaf = b.path[-1].split(".")[0] if b.path else ""
+        links = linked[i] > 0.5 * length[i] and not (b.article and leaf not in ("li", "ul", "div"))
+        direct = b.path == container or b.path[:-1] == container and leaf in _LEAVES
+        if not links and (direct or fused[i] >= limit):
             chosen.append(b)
     return chosen
 
