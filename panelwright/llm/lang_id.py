@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import slices
@@ -19,6 +19,8 @@ from .words import WordTable, code_points, gram_hashes, word_hashes
 
 #: Documents, characters of one, and words that the field is fitted on, at most.
 DOCS, LONGEST, WORDS = 1500, 20_000, 90_000
+#: Documents of each language that the field is fitted on, at least, where there are as many; beyond DOCS if need be.
+EACH = 100
 #: Hash buckets of features; words of a language's lexicon; words of a training sequence; optimiser steps.
 DIM, LEXICON, LENGTH, STEPS = 1 << 16, 2000, 48, 30
 #: What a text without letters gets.
@@ -121,12 +123,18 @@ def fit(texts: list[str], langs: list[str]) -> Field:
             n = int(rng.integers(6, LENGTH))
             spans.append((own[at : at + n], states.index(lang)))
             at += n
-    chosen, total = [], 0
-    for i in rng.permutation(len(spans)):
-        if total >= WORDS:
-            break
-        chosen.append(spans[i])
-        total += len(spans[i][0])
+    order = rng.permutation(len(spans))
+    taken, of_state, total = np.zeros(len(spans), bool), np.zeros(len(states), np.int64), 0
+    for least in (WORDS // (2 * max(1, len(states))), WORDS):  # a share of the words for each language first
+        for i in order:
+            if total >= WORDS:
+                break
+            n, state = len(spans[i][0]), spans[i][1]
+            if not taken[i] and of_state[state] < least:
+                taken[i] = True
+                of_state[state] += n
+                total += n
+    chosen = [spans[i] for i in order if taken[i]]
     if len(states) < 2 or not chosen:
         return field
     table: dict[str, int] = {}
@@ -206,13 +214,17 @@ class Labeller:
 
 
 def fitted(docs: DataFrame) -> Broadcast:
-    """The field, fitted on a bounded sample of the rows that aren't held out."""
+    """The field, fitted on a bounded sample of the rows that aren't held out: DOCS of all, and EACH of every language."""
     spark = docs.sparkSession
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where((rest != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    picked = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(DOCS)
-    found: pd.DataFrame = known.where(F.length("text") <= LONGEST).join(F.broadcast(picked.distinct()), "doc_id", "left_semi").withColumn("order", F.xxhash64("doc_id")).limit(4 * DOCS).toPandas()
-    found = found.sort_values(["order", "doc_id", "text"]).drop_duplicates("doc_id")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    ids = known.select("doc_id", "lang")
+    each = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("k") <= EACH).drop("k")
+    picked = ids.orderBy(*order).limit(DOCS).union(each).distinct()
+    texts = known.withColumn("text", F.substring("text", 1, LONGEST)).join(F.broadcast(picked), ["doc_id", "lang"], "left_semi")
+    found: pd.DataFrame = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).withColumn("order", F.xxhash64("doc_id")).toPandas()
+    found = found.sort_values(["order", "doc_id", "lang"])
     return spark.sparkContext.broadcast(fit(found["text"].tolist(), found["lang"].tolist()))
 
 
