@@ -21,8 +21,12 @@ from .words import WordTable, code_points, gram_hashes, word_hashes
 DOCS, LONGEST, WORDS = 1500, 20_000, 90_000
 #: Documents of each language that the field is fitted on, at least, where there are as many; beyond DOCS if need be.
 EACH = 100
+#: Held-out documents that the stage's limit is taken from, at most; the share of them that it may cost.
+HELD, LOST = 2000, 0.001
 #: Hash buckets of features; words of a language's lexicon; words of a training sequence; optimiser steps.
 DIM, LEXICON, LENGTH, STEPS = 1 << 16, 2000, 48, 30
+#: Bytes of texts that a worker labels at a time; a word takes some 200 bytes of arrays meanwhile.
+SLICE = 2 << 20
 #: What a text without letters gets.
 UNDETERMINED = "und"
 
@@ -242,7 +246,7 @@ def languages(docs: DataFrame) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             names, scores = labeller.labels(part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -251,13 +255,40 @@ def languages(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def with_language(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The rows of `docs`, with all their columns, that have a language of a score of at least `least`; in one pass."""
+def least_score(docs: DataFrame, field: Field) -> float:
+    """The score that a text must have to count as of one language.
+
+    That is the score which all but LOST of the held-out documents that are labelled right reach (a bounded sample of
+    them), yet at least midway between an even share of the languages and 1: two languages half and half reach 0.5 at
+    most, whatever their number. With fewer than two languages scores say nothing, and every text with letters passes.
+    """
+    if len(field.states) < 2:
+        return 0.0
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.substring("text", 1, LONGEST).alias("text")).where((rest == 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    picked = held.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(HELD)
+    found = held.join(F.broadcast(picked.distinct()), "doc_id", "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toPandas()
+    labeller, right = Labeller(field), []
+    for at in range(0, len(found), 100):
+        part = found.iloc[at : at + 100]
+        names, scores = labeller.labels(part["text"].tolist())
+        right.append(scores[names == part["lang"].to_numpy()])
+    reached = np.concatenate(right) if right else np.zeros(0)
+    return max((1 + 1 / len(field.states)) / 2, float(np.quantile(reached, LOST)) if len(reached) else 0.0)
+
+
+def with_language(docs: DataFrame, least: float | None = None) -> DataFrame:
+    """The rows of `docs`, with all their columns, that have a language of a score of at least `least`; in one pass.
+
+    By default `least` comes from held-out documents, see least_score().
+    """
     shared = fitted(docs)
+    if least is None:
+        least = least_score(docs, shared.value)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             names, scores = labeller.labels(part.column("text").to_pylist())
             yield part.filter(pa.array((names != UNDETERMINED) & (scores >= least)))
 

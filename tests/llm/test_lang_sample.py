@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from panelwright.llm import lang_id
 
 LETTERS = {"aa": "abcdefg", "bb": "hijklmn", "cc": "opqrstu"}
@@ -37,3 +38,18 @@ def test_rare_language_keeps_its_words(monkeypatch):
     field = lang_id.fit(texts, ["aa"] * 400 + ["cc"] * 2)
     names, _ = lang_id.Labeller(field).labels([prose(rng, LETTERS["cc"]) for _ in range(20)])
     assert (names == "cc").all()
+
+
+def test_stage_rejects_texts_without_a_language(spark):
+    rng = random.Random(8)
+    own = {i: r for i, r in enumerate(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text", "lang").collect())}
+    long = {s: [r.text for r in own.values() if r.lang == s and len(r.text) > 1500] for s in sorted({r.lang for r in own.values()})}
+    gibberish = [prose(rng, "abcdefghijklmnopqrstuvwxyz", 200) for _ in range(10)]
+    mixed = [f"{rng.choice(long[a])[:1000]}\n{rng.choice(long[b])[:1000]}" for a in long for b in long if a < b]
+    unlearned = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.", "Minden emberi lény szabadon születik és egyenlő méltósága és joga van.", "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler."]
+    bad = gibberish + mixed + unlearned + ["12 34", ""]
+    df = spark.createDataFrame([(i, r.text, r.lang) for i, r in own.items()] + [(10**6 + i, t, None) for i, t in enumerate(bad)], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, df, "").select("doc_id").collect()}
+    passed = [bad[i - 10**6][:60] for i in kept if i >= 10**6]
+    assert not passed
+    assert sum(i in kept for i in own) >= 0.99 * len(own)
