@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,32 +20,50 @@ CHUNK, OVERLAP = 1 << 15, 1 << 9
 _STABLE = re.compile(r"(?<=\S) (?=\S)")
 
 
+def _common(left: list, left_starts: list, right: list, right_starts: list, place: int) -> bool:
+    """Whether both chunks have a token boundary at the space `place`, with the same tokens before and after it."""
+    i, j = bisect_left(left_starts, place), bisect_left(right_starts, place)
+    if not (0 < i < len(left) and 0 < j < len(right)) or left[i - 1 : i + 1] != right[j - 1 : j + 1]:
+        return False
+    return left[i - 1][1] <= place <= left[i][0] <= place + 1
+
+
 def spliced_count(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """The number of tokens of `text`, from overlapping chunks encoded with offsets.
 
-    Two neighbouring chunks are spliced at a stable space inside their overlap where both have a token boundary: tokens
-    that end before it come from the left chunk, the others from the right one. Where an overlap has none, the left
-    chunk is widened, twice as far each time and at last to the text's end, so that nothing is cut at a doubtful place.
+    Two neighbouring chunks are spliced at a stable space inside their overlap where both, encoded, have a token boundary
+    between the same two tokens: tokens that begin before it come from the left chunk, the others from the right one.
+    Where they don't agree, the overlap is widened, twice as far each time; where all of the left chunk is no help, that
+    is widened too, at last to the text's end, so that nothing is cut at a doubtful place.
     """
-    total, start, cut = 0, 0, 0  # tokens that begin before `cut` are counted; `start` is where the chunk begins
-    while True:
-        reach = chunk
-        while True:
-            end = min(len(text), start + reach)
-            spans = tokenizer.encode(text[start:end], add_special_tokens=False).offsets
-            if end == len(text):
-                return total + sum(b > a and a + start >= cut or a == b and a + start > cut for a, b in spans) if cut else len(spans)
-            low = max(cut + 1, end - max(overlap, reach - chunk + overlap))
-            edges = {a + start for a, b in spans} | {b + start for a, b in spans}
-            inside = {x for a, b in spans for x in range(a + start + 1, b + start)}
-            place = next((m.start() for m in _STABLE.finditer(text, low, end - 1) if m.start() > cut and m.start() not in inside and (m.start() in edges or m.start() + 1 in edges)), None)
-            if place is not None:
+
+    def encoded(a: int, b: int) -> list[tuple[int, int]]:
+        return [(x + a, y + a) for x, y in tokenizer.encode(text[a:b], add_special_tokens=False).offsets]
+
+    total, start, cut = 0, 0, 0  # tokens that begin before `cut` are counted; `start` is where the left chunk begins
+    end = min(len(text), chunk)
+    left = encoded(start, end)
+    while end < len(text):
+        starts, reach, place = [a for a, _ in left], overlap, None
+        while place is None:
+            low = max(cut + 1, end - reach)
+            # the right chunk begins at a stable space before the overlap, so that both chunks cover its surroundings
+            back = [m.start() for m in _STABLE.finditer(text, max(start + 1, low - reach), low)]
+            begin = back[len(back) // 2] if back else low
+            until = min(len(text), max(begin + chunk, end + overlap))
+            right = encoded(begin, until)
+            right_starts = [a for a, _ in right]
+            place = next((m.start() for m in _STABLE.finditer(text, low, end - 1) if _common(left, starts, right, right_starts, m.start())), None)
+            if place is None and low == cut + 1:
                 break
             reach *= 2
-        total += sum(cut <= a + start < place for a, b in spans)
-        # the next chunk begins at a stable space before the cut, so that both chunks cover the cut's surroundings
-        back = [m.start() for m in _STABLE.finditer(text, max(start + 1, place - overlap), place)]
-        start, cut = (back[len(back) // 2] if back else place), place
+        if place is None:
+            end = min(len(text), start + 2 * (end - start))
+            left = encoded(start, end)
+            continue
+        total += sum(cut <= a < place for a, _ in left)
+        start, cut, end, left = begin, place, until, right
+    return total + sum(b > a and a >= cut or a == b and a > cut for a, b in left) if cut else len(left)
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
