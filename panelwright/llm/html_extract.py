@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .runtime import slices
+from .runtime import slices, tidied
 
 # Element names of HTML by their part in the layout.
 #: Elements that run inside a block of text.
@@ -220,4 +220,4 @@ def main_text(pages: DataFrame) -> DataFrame:
             texts = [extract(h) for h in part.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(pages["page_id"].cast("long"), pages["url"], pages["html"]).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(pages["page_id"].cast("long"), pages["url"], pages["html"]).mapInArrow(tidied(run), "page_id long, url string, text string, n_chars long")

@@ -14,7 +14,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import slices
+from .runtime import keep_where, slices, tidied
 from .words import WordTable, code_points, gram_hashes, word_hashes
 
 #: Documents, characters of one, and words that the field is fitted on, at most.
@@ -252,7 +252,7 @@ def languages(docs: DataFrame) -> DataFrame:
 
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(rest == 0, F.lit(False)).alias("held_out"), docs["text"])
-    return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidied(predict), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def least_score(docs: DataFrame, field: Field) -> float:
@@ -286,10 +286,13 @@ def with_language(docs: DataFrame, least: float | None = None) -> DataFrame:
     if least is None:
         least = least_score(docs, shared.value)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge():
         labeller = Labeller(shared.value)
-        for part in slices(batches, "text", SLICE):
-            names, scores = labeller.labels(part.column("text").to_pylist())
-            yield part.filter(pa.array((names != UNDETERMINED) & (scores >= least)))
 
-    return docs.mapInArrow(keep, docs.schema)
+        def kept(texts: list[str | None]) -> np.ndarray:
+            names, scores = labeller.labels(texts)
+            return (names != UNDETERMINED) & (scores >= least)
+
+        return kept
+
+    return keep_where(docs, judge, SLICE)

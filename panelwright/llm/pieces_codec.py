@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .runtime import slices
+from .runtime import slices, tidied
 
 SPACE = "▁"
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -261,4 +261,4 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
             columns = [[len(i) for i in ids], [zlib.crc32(i.astype("<u4").tobytes()) for i in ids], [codec.decode(i) == t for i, t in zip(ids, texts, strict=True)]]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2])], ["doc_id", "n_pieces", "ids_crc32", "decoded_equal"])
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, decoded_equal boolean")
+    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(tidied(run), "doc_id long, n_pieces long, ids_crc32 long, decoded_equal boolean")

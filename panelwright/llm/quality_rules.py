@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame
 
 from .labelled import sample
 from .linear import Scorer, fit_chain, spelled
-from .runtime import slices
+from .runtime import slices, tidied
 from .words import WORD, mix
 
 #: Labelled texts of low and of good quality that the model is fitted on, at most; the probability that keeps a text.
 MOST, KEPT_FROM = {0: 2000, 1: 3000}, 0.5
 
+#: Bytes of texts that a worker scores at a time.
+SLICE = 4 << 20
+
 _SPACE, _SYMBOLS, _WINDOW = "\x20\x09\x0a\x0b\x0c\x0d", "#*$%&|<>", 8
 
 
@@ -61,7 +64,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value, spelled, pairs=True)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             texts = [t or "" for t in part.column("text").to_pylist()]
             words = [WORD.findall(t) for t in texts]
             hashes, means = scorer.hashed(words)
@@ -75,4 +78,4 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability"])
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(score, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double")
+    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(tidied(score), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double")

@@ -6,19 +6,26 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or an own one where it is unset (tests)."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`; where it is unset, an own one in local mode alone."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='panelwright-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        found = _OWN[app] = _OWN.get(app) or f"file://{tempfile.mkdtemp(prefix='panelwright-')}"
     return found.rstrip("/")
 
 
@@ -61,7 +68,35 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
                 start, size = i, 0
             size += n
         yield batch.slice(start)
-    tidy()
+
+
+def tidied(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`f` over a task's batches; what it held is freed and given back when the task is done."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from f(batches)
+        tidy()
+
+    return run
+
+
+def keep_where(docs: DataFrame, judge: Callable[[], Callable[[list], np.ndarray]], most_bytes: int) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose text is kept by a judge that each task makes for itself.
+
+    Only texts go to Python, a slice of about `most_bytes` being judged at a time, and only booleans come back.
+    """
+
+    def verdicts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kept = judge()
+        for texts in batches:
+            batch = pa.RecordBatch.from_arrays([texts], ["text"])
+            yield pa.array(np.concatenate([np.zeros(0, bool), *(kept(part.column("text").to_pylist()) for part in slices(iter([batch]), "text", most_bytes))]))
+
+    @F.arrow_udf("boolean")
+    def keeps(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidied(verdicts)(batches)
+
+    return docs.where(keeps(docs["text"]))
 
 
 def tidy() -> None:

@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame
 
 from .labelled import sample
 from .linear import Scorer, fit_chain, stems
-from .runtime import slices
+from .runtime import keep_where, slices, tidied
 from .words import WORD
 
 #: The chain: text that is low in quality, then toxic text (the label), then toxic text that is low in quality as well.
 CATEGORIES = ("low_quality", "toxic", "toxic_low_quality")
 #: Labelled texts without and with toxicity that the chain is fitted on, at most; the probability that rejects a text.
 MOST, REJECTED_FROM = {0: 2500, 1: 1500}, 0.5
+#: Bytes of texts that a worker scores at a time.
+SLICE = 2 << 20
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Broadcast:
@@ -27,8 +29,8 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast(fit_chain(found["text"].tolist(), [low, toxic, toxic & low], stems, pairs=False))
 
 
-def _probabilities(scorer: Scorer, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    p = scorer.probabilities(scorer.hashed([WORD.findall(t or "") for t in part.column("text").to_pylist()])[1])
+def _probabilities(scorer: Scorer, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    p = scorer.probabilities(scorer.hashed([WORD.findall(t or "") for t in texts])[1])
     return p, np.maximum(p[:, 1], p[:, 2]) >= REJECTED_FROM
 
 
@@ -44,20 +46,19 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value, stems, pairs=False)
-        for part in slices(batches, "text"):
-            p, toxic = _probabilities(scorer, part)
+        for part in slices(batches, "text", SLICE):
+            p, toxic = _probabilities(scorer, part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(p[:, k]) for k in range(3)), pa.array(toxic), pa.array(~toxic)], ["doc_id", *CATEGORIES, "is_toxic", "kept"])
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(score, "doc_id long, low_quality double, toxic double, toxic_low_quality double, is_toxic boolean, kept boolean")
+    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(tidied(score), "doc_id long, low_quality double, toxic double, toxic_low_quality double, is_toxic boolean, kept boolean")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs`, with all their columns, whose text toxicity() keeps; in the same pass, without a join."""
     shared = fitted(docs, labels)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge():
         scorer = Scorer(shared.value, stems, pairs=False)
-        for part in slices(batches, "text"):
-            yield part.filter(pa.array(~_probabilities(scorer, part)[1]))
+        return lambda texts: ~_probabilities(scorer, texts)[1]
 
-    return docs.mapInArrow(keep, docs.schema)
+    return keep_where(docs, judge, SLICE)

@@ -27,7 +27,7 @@ class WordTable(dict):
     and changes no result.
     """
 
-    def __init__(self, describe: Callable[[list], np.ndarray], cap: int = 400_000) -> None:
+    def __init__(self, describe: Callable[[list], np.ndarray], cap: int = 200_000) -> None:
         super().__init__()
         self.describe, self.cap, self.new, self.rows, self.used = describe, cap, [], None, 0
 
