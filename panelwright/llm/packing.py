@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import slices, written
-from .units import ByteEncoder, kept
+from .runtime import slices, tidied, written
+from .units import CAP, SLICE, ByteEncoder, kept
 
 #: Pieces that one task packs; more are dealt to more tasks. At most about one sequence a group is lost to that.
 GROUP = 60_000
@@ -150,23 +150,25 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0,
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept(ByteEncoder, vocabulary)
-        for part in slices(batches, "text"):
-            rows: list[tuple] = []
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.ids(texts), strict=True):
-                whole = np.append(ids, encoder.dtype.type(end_id)).astype("<u4")
-                start, piece = 0, 0
-                while start < len(whole):
-                    n = (len(whole) % size or size) if not piece else size
-                    own = whole[start : start + n]
-                    rows.append((doc_id, piece, start, n, zlib.crc32(own.tobytes()), *([own.tolist()] if with_ids else [])))
-                    start, piece = start + n, piece + 1
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], names[: 5 + with_ids])
-
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(cut, schema)
+        encoder = kept(ByteEncoder, vocabulary, CAP, end_id)
+        for part in slices(batches, "text", SLICE):
+            flat, lengths = encoder.stream(part.column("text"))
+            n_pieces = -(-lengths // size)
+            doc = np.repeat(np.arange(len(lengths)), n_pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
+            first = (lengths - (n_pieces - 1) * size)[doc]
+            length = np.where(piece == 0, first, size)
+            start = np.where(piece == 0, 0, first + (piece - 1) * size)
+            ends = np.cumsum(length)
+            wide = flat.astype("<u4")
+            raw = memoryview(wide).cast("B") if len(wide) else b""
+            crcs = [zlib.crc32(raw[4 * (b - n) : 4 * b]) for b, n in zip(ends.tolist(), length.tolist(), strict=True)]
+            columns = [part.column("doc_id").take(pa.array(doc)), *(pa.array(c, t) for c, t in ((piece, pa.int32()), (start, pa.int64()), (length, pa.int64()), (crcs, pa.int64())))]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(wide.view(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
+
+    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(tidied(cut), schema)
 
 
 def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0, group: int = GROUP, with_ids: bool = False) -> DataFrame:

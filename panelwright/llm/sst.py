@@ -28,8 +28,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import scratch, slices, written
-from .units import ByteEncoder, kept
+from .runtime import scratch, slices, tidied, written
+from .units import CAP, SLICE, ByteEncoder, kept
 
 ENTRY, PLACE, FOOTER, MAGIC = struct.Struct("<HHI"), struct.Struct("<QII"), struct.Struct("<QQQQQQII"), 0x31545350
 BLOCK_BYTES, BITS_PER_KEY, HASHES = 1 << 18, 10, 7
@@ -152,25 +152,26 @@ def write_shards(docs: DataFrame, vocabulary: str, uri: str, end_id: int = 0) ->
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, out, writer = kept(ByteEncoder, vocabulary), None, None
+        encoder, out, writer = kept(ByteEncoder, vocabulary, CAP, end_id), None, None
         system, root = file_system(uri)
         path = f"{root}/{uuid.uuid4().hex}.sst"
-        end = np.array([end_id], encoder.dtype).tobytes()
-        for part in slices(batches, "text"):
+        wide = encoder.dtype.itemsize
+        for part in slices(batches, "text", SLICE):
             if writer is None:
                 system.create_dir(root, recursive=True)
                 out = system.open_output_stream(path)
-                writer = ShardWriter(out, encoder.dtype.itemsize)
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.ids(texts), strict=True):
-                writer.add(key_of(doc_id), ids.tobytes() + end)
+                writer = ShardWriter(out, wide)
+            flat, lengths = encoder.stream(part.column("text"))
+            raw, ends = flat.tobytes(), np.cumsum(lengths) * wide
+            for doc_id, end, n in zip(part.column("doc_id").to_pylist(), ends.tolist(), (lengths * wide).tolist(), strict=True):
+                writer.add(key_of(doc_id), raw[end - n : end])
         if writer is not None:
             writer.close()
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "first_doc_id": pa.array([id_of(writer.first)], pa.int64()), "last_doc_id": pa.array([id_of(writer.last)], pa.int64()), "n_docs": pa.array([writer.total], pa.int64()), "n_ids": pa.array([writer.ids], pa.int64())})
 
     dealt = docs.select(docs["doc_id"].cast("long"), docs["text"]).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return written(dealt.mapInArrow(write, "path string, first_doc_id long, last_doc_id long, n_docs long, n_ids long"), "sst-manifest")
+    return written(dealt.mapInArrow(tidied(write), "path string, first_doc_id long, last_doc_id long, n_docs long, n_ids long"), "sst-manifest")
 
 
 def read_shards(spark: SparkSession, manifest: DataFrame, uri: str) -> DataFrame:
@@ -192,7 +193,7 @@ def read_shards(spark: SparkSession, manifest: DataFrame, uri: str) -> DataFrame
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     shards = max(1, manifest.count())
-    return placed.select("path", "before").repartition(min(shards, 1 << 16), "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.select("path", "before").repartition(min(shards, 1 << 16), "path").mapInArrow(tidied(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_shards(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:

@@ -6,12 +6,13 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .runtime import slices
-from .units import UnitCounter, kept
+from .runtime import slices, tidied
+from .units import SLICE, UnitCounter, kept
 
 #: Characters of a chunk of a huge text, and of the overlap of two chunks at first.
 CHUNK, OVERLAP = 1 << 15, 1 << 9
@@ -77,17 +78,14 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, chunk: int
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = kept(UnitCounter, vocabulary)
-        for part in slices(batches, "text"):
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            small = [i for i, t in enumerate(texts) if len(t) <= chunk]
-            counts = [0] * len(texts)
-            for i, n in zip(small, counter.counts([texts[i] for i in small]), strict=True):
-                counts[i] = n
-            for i, t in enumerate(texts):
-                if len(t) > chunk:
-                    counts[i] = spliced_count(counter.tokenizer, t, chunk, overlap)
+        for part in slices(batches, "text", SLICE):
+            texts = pc.fill_null(part.column("text"), "")
+            huge = pc.greater(pc.utf8_length(texts), chunk)
+            counts = counter.counts(pc.if_else(huge, "", texts))
+            for i in np.flatnonzero(huge.to_numpy(zero_copy_only=False)).tolist():
+                counts[i] = spliced_count(counter.tokenizer, texts[i].as_py(), chunk, overlap)
             n_bytes = pc.fill_null(pc.cast(pc.binary_length(part.column("text")), pa.int64()), 0)
             n_tokens = pa.array(counts, pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), n_bytes, n_tokens, pc.greater(n_tokens, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(tidied(count), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -3,24 +3,27 @@
 A space (U+0020) between two characters that aren't white space is a stable boundary of both vocabularies' splitting
 rules: no rule's match can hold it in its interior, look past it to the left, or depend on what stands before it; no
 special token holds a space; and no normal form joins a character to a space. So the ids of a text are the ids of its
-units in order, and a unit is encoded by the library the first time a worker meets it. Runs of white space stay inside
-one unit, so nothing is cut there.
+units in order, and a unit is encoded by the library the first time a worker meets it. Under the byte-level rule a line
+feed, or a pair of them, between two characters that aren't white space is split from both sides as well, so there a
+line's first word is a unit with its line feed. Texts with other white space, or with a special token's string, are
+encoded whole by the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from array import array
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-_STABLE = re.compile(r"(?<=\S) (?=\S)")
-#: A run of Latin letters with closing marks that both vocabularies split from it.
-_LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|%$*#&]*)")
+#: Units that a worker keeps; bytes of texts that it encodes at a time.
+CAP, SLICE = 400_000, 4 << 20
 
 
 def library(name: str):
@@ -30,204 +33,225 @@ def library(name: str):
     return Tokenizer.from_file(name if os.sep in name else public_tokenizers.path(name))
 
 
-#: Marks that end a word, and the code point after the Latin letters that count as plain.
-_MARKS, _LATIN_END = ".,!?;:|%$*#&", "\u0250"
+def _refuse_unless(name: str, tokenizer, normalizer: list[str], splitter: list[str], pattern: str | None) -> None:
+    """Units are proven for one splitting rule each; another vocabulary with the same rule will do, any other will not."""
+    spec = json.loads(tokenizer.to_str())
+    kinds = lambda part, inner: [] if part is None else [p["type"] for p in part[inner]] if part["type"] == "Sequence" else [part["type"]]
+    before = spec["pre_tokenizer"] or {}
+    found = next((p["pattern"].get("Regex") for p in before.get("pretokenizers", []) if p["type"] == "Split"), None)
+    byte_level = next((p for p in before.get("pretokenizers", [before]) if p.get("type") == "ByteLevel"), {})
+    same = spec["model"]["type"] == "BPE" and kinds(spec["normalizer"], "normalizers") == normalizer and kinds(spec["pre_tokenizer"], "pretokenizers") == splitter
+    if not same or found != pattern or byte_level.get("add_prefix_space") or byte_level.get("use_regex") is not (pattern is None) or any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in spec["added_tokens"]):
+        raise ValueError(f"{name}: units between spaces aren't proven stable for this vocabulary's splitting rule")
 
 
-class _Units:
-    """Units to what `code` makes of their ids; the library encodes the units of many texts in one call."""
+def _units(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct units of texts without nulls, the place of each unit in them, and where each text's units begin (and end)."""
+    lists = pc.split_pattern(texts, " ")
+    found = lists.flatten().dictionary_encode()
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    return found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False), offsets - offsets[0]
 
-    def __init__(self, tokenizer, lead: str, cap: int, value) -> None:
-        self.tokenizer, self.lead, self.cap, self.value = tokenizer, lead, cap, value
-        self.known: dict[str, object] = {}
-        self.marks: dict[str, object] = {}
 
-    def encoded(self, texts: list[str]) -> list:
-        return list(map(self.value, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)))
+#: Marks that may close a word, and the code point after the Latin letters that count as plain.
+_MARKS, _LATIN_END = ".,!?;:|%$*#&", "\u0250"
 
-    def learn(self, units: set[str]) -> None:
-        known, plain, split = self.known, [], []
-        for unit in units:
-            if (m := _LETTERS_MARKS.fullmatch(unit)) and m[2]:
-                split.append((unit, m[1], m[2]))
-            else:
-                plain.append(unit)
-        stems = {stem for _, stem, _ in split}.difference(known, plain)
-        plain += stems
-        known.update(zip(plain, self.encoded([self.lead + u for u in plain]), strict=True))
-        marks = list({m for _, _, m in split}.difference(self.marks))
-        self.marks.update(zip(marks, self.encoded(marks), strict=True))
-        for unit, stem, mark in split:
-            known[unit] = known[stem] + self.marks[mark]
 
-    def values(self, lists: list[list[str]]) -> list[list]:
-        """What each unit of each list stands for."""
-        if len(self.known) > self.cap:
-            self.known.clear()
-        get = self.known.get
-        found = [list(map(get, units)) for units in lists]
-        short = [i for i, got in enumerate(found) if None in got]
-        if short:
-            new: set[str] = set()
-            for i in short:
-                new.update(u for u, v in zip(lists[i], found[i], strict=True) if v is None)
-            self.learn(new)
-            for i in short:
-                found[i] = list(map(get, lists[i]))
-        return found
+def _byte_characters() -> dict[int, str]:
+    """The character that a byte-level vocabulary writes for each byte: itself if printable, else the next one from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {i: chr(i if i in plain else next(others)) for i in range(256)}
 
 
 class _Table(dict):
-    """Units to rows, and rows to ids: the ids of a unit are those of one or two pieces (letters, then marks)."""
+    """Units to rows, and rows to ids.
+
+    A string stands after a space, or begins with its own line feed; bytes stand after neither. Letters, closing marks
+    and a leading line feed are rows of their own, which those of the whole unit are put together from.
+    """
 
     def __init__(self, tokenizer, dtype: np.dtype, cap: int) -> None:
         super().__init__()
         self.tokenizer, self.dtype, self.cap = tokenizer, dtype, cap
-        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
-        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a space
-        self.opens[[i for token, i in vocabulary.items() if token[0] == "Ġ"]] = True
-        self.clear()
-
-    def clear(self) -> None:
-        super().clear()
-        self.new: list[str] = []
-        self.pieces: dict[str | bytes, int] = {}  # marks are keyed as bytes: they follow letters, not a space
-        self.parts = np.zeros((1024, 2), np.int64)
-        self.starts, self.ends = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.flat, self.used = np.zeros(4096, self.dtype), 0
+        self.characters = _byte_characters()
+        self.forget()
 
-    def __missing__(self, unit: str) -> int:
+    def __missing__(self, unit: str | bytes) -> int:
         self[unit] = at = len(self)
         self.new.append(unit)
         return at
 
-    @staticmethod
-    def _room(array: np.ndarray, n: int) -> np.ndarray:
-        if n <= len(array):
-            return array
-        grown = np.zeros((2 * n, *array.shape[1:]), array.dtype)
-        grown[: len(array)] = array
-        return grown
-
-    def _store(self, at: list[int], ids: np.ndarray, lengths: np.ndarray) -> None:
-        """Ids of the pieces `at`, end to end."""
-        ends = self.used + np.cumsum(lengths)
-        self.starts[at], self.ends[at] = ends - lengths, ends
-        self.flat = self._room(self.flat, self.used + len(ids))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-
-    def learn(self) -> None:
-        pieces, n = self.pieces, len(self.pieces)
-        words: list[str] = []
-        word_at: list[int] = []
-        others: list[str] = []
-        other_at: list[int] = []
-        firsts, seconds = [], []
-        for unit in self.new:
-            word = unit.rstrip(_MARKS)
-            if letters := word.isalpha() and (word.isascii() or max(word) < _LATIN_END):
-                part = word
-            else:
-                part = unit
-            at = pieces.get(part)
-            if at is None:
-                at = pieces[part] = n
-                n += 1
+    def forget(self) -> None:
+        """Keep the units that more than one call met since the last time, or none if they are most of them."""
+        units = list(self)
+        rows = np.flatnonzero(self.met[: len(units)] > 1) if units else np.zeros(0, np.int64)
+        if 2 * len(rows) > self.cap:
+            rows = rows[:0]
+        self.clear()
+        self.update(zip([units[i] for i in rows.tolist()], range(len(rows)), strict=True))
+        self.new: list[str | bytes] = []
+        if len(rows):
+            starts, lengths = self.starts[rows], self.lengths[rows]
+            self.flat = self.flat[_spans(starts, lengths)]
+            self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
+        else:
+            self.flat, self.lengths, self.starts = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.met = np.zeros(len(rows), np.int32)
+
+    def _learn(self) -> None:
+        base = len(self) - len(self.new)
+        tokenize = self.tokenizer.model.tokenize
+        simple, lists, odd, whole, parts = [], [], [], [], []
+        for at, unit in enumerate(self.new, base):  # which grows by parts
+            bare = type(unit) is bytes
+            body = unit.decode() if bare else unit
+            feed = not bare and body[:1] == "\n"
+            if feed:
+                body = body[1:]
+            word = body.rstrip(_MARKS)
+            letters = word.isalpha() and (word.isascii() or max(word) < _LATIN_END)
+            if letters and len(word) == len(body) and not feed:
+                spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.characters)
+                simple.append(at)
+                lists.append([t.id for t in tokenize(spelled if bare else "Ġ" + spelled)])
+            elif letters or feed:
+                own = [self[b"\n"]] if feed else []
                 if letters:
-                    words.append(part)
-                    word_at.append(at)
-                else:
-                    others.append(" " + part)
-                    other_at.append(at)
-            firsts.append(at)
-            if letters and len(word) < len(unit):
-                key = unit[len(word) :].encode()
-                at = pieces.get(key)
-                if at is None:
-                    at = pieces[key] = n
-                    n += 1
-                    others.append(unit[len(word) :])
-                    other_at.append(at)
-                seconds.append(at)
+                    own.append(self[word.encode() if bare or feed else word])
+                    body = body[len(word) :]
+                if body:
+                    own.append(self[body.encode()])
+                whole.append(at)
+                parts.append(own + [-1] * (3 - len(own)))
             else:
-                seconds.append(-1)
-        self.starts, self.ends = self._room(self.starts, n), self._room(self.ends, n)
-        # many words in one text: each begins with the only token of its own that begins with a space
-        for k in range(0, len(words), 2000):
-            some = words[k : k + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.int64)
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) != len(some):
-                raise AssertionError("a word doesn't begin with one token of its own")
-            self._store(word_at[k : k + 2000], ids, np.diff(np.append(starts, len(ids))))
-        if others:
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
-            self._store(other_at, np.fromiter(chain.from_iterable(lists), np.int64), np.fromiter(map(len, lists), np.int64, len(lists)))
-        base = len(self) - len(self.new)
-        self.parts = self._room(self.parts, len(self))
-        self.parts[base : len(self), 0], self.parts[base : len(self), 1] = firsts, seconds
+                odd.append((at, body if bare else " " + body))
+        if odd:
+            simple += [at for at, _ in odd]
+            lists += [e.ids for e in self.tokenizer.encode_batch_fast([text for _, text in odd], add_special_tokens=False)]
+        room = np.zeros(len(self) - base, np.int64)
+        self.starts, self.lengths, self.met = np.append(self.starts, room), np.append(self.lengths, room), np.append(self.met, room.astype(np.int32))
+        self._store(np.array(simple, np.int64), np.fromiter(chain.from_iterable(lists), self.dtype), np.fromiter(map(len, lists), np.int64, len(lists)))
+        if whole:
+            made = np.array(parts)
+            held = made >= 0
+            lengths = np.where(held, self.lengths[made], 0)
+            self._store(np.array(whole), self.flat[_spans(self.starts[made[held]], lengths[held])], lengths.sum(1))
         self.new = []
 
-    def ids(self, lists: list[list[str]]) -> list[np.ndarray]:
-        """The ids of each list of units, end to end."""
+    def _store(self, at: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.starts[at], self.lengths[at] = len(self.flat) + np.cumsum(lengths) - lengths, lengths
+        self.flat = np.append(self.flat, ids)
+
+    def at(self, units: list[str]) -> np.ndarray:
+        """The rows of distinct units."""
         if len(self) > self.cap:
-            self.clear()
-        n_units = np.fromiter(map(len, lists), np.int64, len(lists))
-        at = np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), np.int64, int(n_units.sum()))
+            self.forget()
+        rows = np.fromiter(map(self.__getitem__, units), np.int64, len(units))
         if self.new:
-            self.learn()
-        parts = self.parts[at]
-        held = parts >= 0
-        lengths = np.where(held, self.ends[parts] - self.starts[parts], 0)
-        per_unit = lengths.sum(1)
-        flat, starts = lengths[held], self.starts[parts[held]]
-        take = np.repeat(starts - (np.cumsum(flat) - flat), flat) + np.arange(int(flat.sum()))
-        whole = self.flat[take]
-        ends = np.append(0, np.cumsum(per_unit))[np.append(0, np.cumsum(n_units))]
-        return [whole[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            self._learn()
+        self.met[rows] += 1
+        return rows
 
 
-class ByteEncoder:
-    """Ids of whole texts under a byte-level vocabulary whose splitting rule gives a space to the word after it."""
+def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions of spans, end to end."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
 
-    def __init__(self, name: str, cap: int = 300_000) -> None:
-        self.tokenizer = library(name)
-        code = "H" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
-        self.dtype = np.dtype(f"u{array(code).itemsize}")
-        self.head = _Units(self.tokenizer, "", cap // 10, lambda e: array(code, e.ids).tobytes())
-        self.body = _Table(self.tokenizer, self.dtype, cap)
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        lists = [_STABLE.split(t) if "  " in t or " \n" in t or "\n " in t or t[:1] == " " or t[-1:] == " " or _RARE(t) else t.split(" ") for t in texts]
-        head = self.head.values([units[:1] for units in lists])
-        for units in lists:
-            del units[0]
-        return [np.concatenate([np.frombuffer(first[0], self.dtype), rest]) for first, rest in zip(head, self.body.ids(lists), strict=True)]
+#: White space other than spaces and line feeds: Unicode's, which the library's splitting rule goes by, and the separators
+#: U+001C to U+001F; runs of white space other than a pair of line feeds.
+_RARE = r"[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_RUNS = ("  ", " \n", "\n ", "\n\n\n")
 
 
-#: White space other than spaces and line feeds.
-_RARE = re.compile(r"[^\S \n]").search
+class ByteEncoder:
+    """Ids of whole texts under a byte-level vocabulary whose splitting rule gives a space to the word after it."""
+
+    def __init__(self, name: str, cap: int = CAP, end_id: int = 0) -> None:
+        self.tokenizer, self.end_id = library(name), end_id
+        _refuse_unless(name, self.tokenizer, [], ["ByteLevel"], None)
+        self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16 and end_id < 1 << 16 else "<u4")
+        self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.table = _Table(self.tokenizer, self.dtype, cap)
+
+    def stream(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, each with the end id, and how many each has. A null text is empty."""
+        texts = pc.fill_null(texts, "")
+        wide = pc.match_substring_regex(texts, _RARE)
+        for run in (*_RUNS, *self.special):
+            wide = pc.or_(wide, pc.match_substring(texts, run))
+        for end in " \n":
+            wide = pc.or_(wide, pc.or_(pc.starts_with(texts, end), pc.ends_with(texts, end)))
+        # every text gets a line feed in front, so that no first unit is special; its id's place shifts to the end id
+        plain = pc.replace_substring(pc.binary_join_element_wise("\n", texts.filter(pc.invert(wide)), ""), "\n", " \n")
+        units, at, offsets = _units(pc.utf8_slice_codeunits(plain, 1))
+        rows = self.table.at(units)[at]
+        n = self.table.lengths[rows]
+        flat = self.table.flat[_spans(self.table.starts[rows], n)]
+        ends = np.append(0, np.cumsum(n))[offsets]
+        lengths = np.diff(ends)
+        flat = np.append(flat[1:], flat[:1])
+        flat[ends[1:] - 1] = self.end_id
+        if not (slow := np.flatnonzero(wide.to_numpy(zero_copy_only=False))).size:
+            return flat, lengths
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts.take(pa.array(slow)).to_pylist(), add_special_tokens=False)]
+        order = np.argsort(np.append(np.setdiff1d(np.arange(len(texts)), slow), slow), kind="stable")
+        flat = np.append(flat, np.fromiter(chain.from_iterable(chain(ids, (self.end_id,)) for ids in lists), self.dtype))
+        lengths = np.append(lengths, [len(ids) + 1 for ids in lists])
+        return flat[_spans((np.cumsum(lengths) - lengths)[order], lengths[order])], lengths[order]
+
+    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text, without the end id."""
+        flat, lengths = self.stream(pa.array(texts, pa.string()))
+        return [flat[b - n : b - 1] for n, b in zip(lengths.tolist(), np.cumsum(lengths).tolist(), strict=True)]
+
+
+#: The splitting rule that UnitCounter is proven for (a fixed value of the public vocabulary).
+_WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A run of Latin letters with closing marks that this rule splits from it.
+_LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|%$*#&]*)")
 
 
 class UnitCounter:
     """Numbers of tokens of whole texts under a vocabulary that drops white space and lowers case."""
 
-    def __init__(self, name: str, cap: int = 500_000) -> None:
-        self.tokenizer = library(name)
-        self.units = _Units(self.tokenizer, "", cap, len)
+    def __init__(self, name: str, cap: int = CAP) -> None:
+        self.tokenizer, self.cap = library(name), cap
+        _refuse_unless(name, self.tokenizer, ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], _WORD_SPLIT)
+        self.known: dict[str, int] = {}
+
+    def _learn(self, units: list[str]) -> None:
+        known, plain, split = self.known, [], []
+        for unit in units:
+            if (m := _LETTERS_MARKS.fullmatch(unit)) and m[2]:
+                split.append((unit, m[1], m[2]))
+            else:
+                plain.append(unit)
+        plain += {part for _, *both in split for part in both}.difference(known, plain)
+        known.update(zip(plain, map(len, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)), strict=True))
+        for unit, stem, mark in split:
+            known[unit] = known[stem] + known[mark]
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """The number of tokens of each text. A null text is empty."""
+        units, at, offsets = _units(pc.fill_null(texts, ""))
+        if len(self.known) > self.cap:
+            self.known.clear()
+        found = list(map(self.known.get, units))
+        if None in found:
+            self._learn([u for u, n in zip(units, found, strict=True) if n is None])
+            found = list(map(self.known.get, units))
+        return np.diff(np.append(0, np.cumsum(np.array(found, np.int64)[at]))[offsets])
 
-    def counts(self, texts: list[str]) -> list[int]:
-        lists = [text.split(" ") for text in texts]
-        return list(map(sum, self.units.values(lists)))
 
 
 _KEPT: dict[tuple, object] = {}
 
 
-def kept(kind, name: str):
-    """One encoder a worker and vocabulary, kept between tasks."""
-    if (kind, name) not in _KEPT:
-        _KEPT[kind, name] = kind(name)
-    return _KEPT[kind, name]
+def kept(kind, *args):
+    """One encoder a worker and vocabulary, kept between tasks; another one takes its place, so a worker holds one cache."""
+    if (kind, *args) not in _KEPT:
+        _KEPT.clear()
+        _KEPT[(kind, *args)] = kind(*args)
+    return _KEPT[(kind, *args)]
