@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import Forest, components
-from .runtime import slices, written
+from .runtime import slices, tidied, written
 from .words import WordTable, mix
 
 #: Counters of words, shared by words of one hash; a fixed size, whatever the input. An n-gram is as rare as its rarest word.
@@ -106,7 +106,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
         return pd.DataFrame({"k": [rows["k"].iat[0]], "salt": [0], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     schema = "k int, salt int, counts binary"
-    parts = docs.select("text").mapInArrow(count, schema)
+    parts = docs.select("text").mapInArrow(tidied(count), schema)
     summed = parts.groupBy("k", "salt").applyInPandas(add, schema).groupBy("k").applyInPandas(add, schema)
     total = np.zeros(COUNTERS, np.int64)
     for row in summed.toLocalIterator():
@@ -184,23 +184,40 @@ def linked_blocks(sets: list[np.ndarray], side: np.ndarray, percent: int) -> For
     return forest
 
 
+def _key(docs: DataFrame):
+    """Tells rows apart by doc_id and text."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
+
+
+def _once(rows: DataFrame, key: str, repeated: DataFrame) -> DataFrame:
+    """One row of each key: only rows of the repeated keys, if there are any, are shuffled."""
+    if repeated.isEmpty():
+        return rows
+    return rows.join(repeated, key, "left_anti").unionByName(rows.join(repeated, key, "left_semi").dropDuplicates([key]))
+
+
 def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs` (doc_id, text; other columns are ignored).
 
     Two documents link when their sets of n-word shingles have 100 * intersection >= percent * union; component_id is
     the least doc_id reachable by links. A null text, or one without words, has an empty set and links with nothing.
-    Rows with a null doc_id are answered, with their own null or their class's least doc_id. Repeated rows and texts
-    are answered each. An empty table gives no rows.
+    Rows with a null doc_id are answered, with the least doc_id of their group, or null. Repeated rows and texts are
+    answered each; rows that share a doc_id are linked by their own texts. An empty table gives no rows.
 
-    Plan: equal sets become a class, represented by its least doc_id, by partial minima. Each class deals out the
+    Plan: equal sets become a class, represented by its row of the least doc_id, by partial minima. Each class deals out the
     prefix of its set, rarest shingles first. Two sets that link share a prefix shingle and stand on one rung of a
     ladder of lengths or on neighbouring ones, so both are joined with the least class that has this shingle there, and
     the components of that join are families that hold every link. Families are compared in tasks of bounded blocks, by
     rungs and within one by a hash; they return stars, at most a row a document. Exact copies are never paired, nor pairs of one component verified again,
     so no pair is ever a row. The driver holds COUNTERS bytes.
     """
+    return _grouped(docs, n, percent)[0].select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles, component_id, the row's key and the key of its group's first row; and keys that stand in several rows."""
     spark = docs.sparkSession
-    docs = docs.select(docs["doc_id"].cast("long"), docs["text"])
+    docs = docs.select(docs["doc_id"].cast("long"), docs["text"], _key(docs).alias("key"))
     levels = spark.sparkContext.broadcast(rarity(docs))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,10 +227,13 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
                 head = ordered[: len(s) - -(-percent * len(s) // 100) + 1] if len(s) else s
                 rows.append((len(s), *_set_hash(s), head.view(np.int64)))
             columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.list_(pa.int64()))], ["doc_id", "n_shingles", "h1", "h2", "prefix"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.list_(pa.int64()))], ["doc_id", "key", "n_shingles", "h1", "h2", "prefix"])
 
-    sets = written(docs.mapInArrow(prefixes, "doc_id long, n_shingles long, h1 long, h2 long, prefix array<long>"), "sets")
-    classes = sets.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix")).where("rep is not null")
+    sets = written(docs.mapInArrow(tidied(prefixes), "doc_id long, key long, n_shingles long, h1 long, h2 long, prefix array<long>"), "sets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    classes = sets.where("n_shingles > 0").groupBy("h1", "h2").agg(first.alias("first"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    repeated = sets.where("n_shingles > 0").groupBy("key").count().where("count > 1").select("key")
     # a link bridges at most one rung of this ladder of lengths
     step = float(np.log(100 / percent)) * (1 + 1e-9)
     rung = F.floor(F.log("n") / step).cast("int")
@@ -223,7 +243,7 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     least = met.groupBy("gram", "rung").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b < top").select("gram", "rung", "b")
     family = written(components(met.join(least, ["gram", "rung"]).select(F.col("rep").alias("a"), "b")), "families")
 
-    reps = sets.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"))
+    reps = classes.select(F.col("rep").alias("node"), "first", "n", "h1", "h2")
     member = family.join(reps, "node").withColumn("rung", rung)
     load = F.greatest(F.count("*") / BLOCK, F.sum("n") / SHINGLES)  # in blocks
     sizes = member.groupBy("component", "rung").agg(load.alias("k")).groupBy("component").agg(F.sum("k").alias("whole"), F.max("k").alias("most"))
@@ -231,7 +251,7 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     # one block for a small family; else by rung, whose neighbours alone can link, and by a hash
     salts = F.ceil("most").cast("int")
     small = F.col("whole") <= 1
-    member = member.select("node", "component", F.col("h1").alias("own"), small.alias("small"), salts.alias("salts"), F.when(small, 0).otherwise(F.col("rung")).alias("rung"), F.when(small, 0).otherwise(F.pmod(F.xxhash64("node"), salts)).cast("int").alias("salt"))
+    member = member.select("node", "component", F.col("first.key").alias("key"), small.alias("small"), salts.alias("salts"), F.when(small, 0).otherwise(F.col("rung")).alias("rung"), F.when(small, 0).otherwise(F.pmod(F.xxhash64("node"), salts)).cast("int").alias("salt"))
     # a task holds one family; or a rung and the rung above; or two blocks of one rung or of neighbouring ones
     here = F.struct("rung", "salt")
     cell = lambda low, high, side: F.struct(low.alias("low"), high.alias("high"), side.alias("side"))
@@ -239,31 +259,25 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     blocks = F.flatten(F.transform(F.array(F.col("rung") - 1, F.col("rung"), F.col("rung") + 1), lambda r: F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda k: F.struct(r.alias("rung"), k.cast("int").alias("salt")))))
     cells = F.when(F.col("small"), F.array(cell(here, here, F.lit(2)))).when(F.col("salts") == 1, F.array(cell(here, at(F.col("rung") + 1), F.lit(3)), cell(at(F.col("rung") - 1), here, F.lit(4))))
     cells = cells.otherwise(F.transform(blocks, lambda o: cell(F.least(here, o), F.greatest(here, o), F.when(here == o, 2).when(here < o, 0).otherwise(1))))
-    dealt = member.select("node", "component", "own", F.explode(cells).alias("c")).select("node", "component", "own", "c.*")
+    dealt = member.select("node", "component", "key", F.explode(cells).alias("c")).select("node", "component", "key", "c.*")
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):  # the shuffle carries each text in a third of its bytes
             zipper = zstandard.ZstdCompressor(level=1)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([zipper.compress((t or "").encode("utf-8", "surrogatepass")) for t in part.column("text").to_pylist()], pa.binary())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([zipper.compress((t or "").encode("utf-8", "surrogatepass")) for t in part.column("text").to_pylist()], pa.binary())], ["key", "text"])
 
-    squeezed = docs.mapInArrow(squeeze, "doc_id long, text binary")
-    texts = dealt.join(squeezed, F.col("node") == F.col("doc_id")).select("component", "low", "high", "side", "node", "own", "text")
+    squeezed = docs.select("key", "text").mapInArrow(tidied(squeeze), "key long, text binary")
+    texts = dealt.join(_once(squeezed, "key", repeated), "key").select("component", "low", "high", "side", "node", "text")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        unzip, texts, sets, good, held = zstandard.ZstdDecompressor().decompress, [], [], [], 0
-        for k, (packed, own) in enumerate(zip(rows["text"], rows["own"], strict=True)):
-            texts.append((k, own, unzip(bytes(packed)).decode("utf-8", "surrogatepass")))
-            held += len(texts[-1][2])
+        unzip, texts, sets, held = zstandard.ZstdDecompressor().decompress, [], [], 0
+        for k, packed in enumerate(rows["text"]):
+            texts.append(unzip(bytes(packed)).decode("utf-8", "surrogatepass"))
+            held += len(texts[-1])
             if held > SLICE or k + 1 == len(rows):
-                for (at, want, _), (s, ordered) in zip(texts, shingles([t for _, _, t in texts], n, levels.value), strict=True):
-                    if _set_hash(s)[0] == want:  # not another row of that doc_id
-                        good.append(at)
-                        sets.append(ordered)
+                sets += [ordered for _, ordered in shingles(texts, n, levels.value)]
                 texts, held = [], 0
-        rows = rows.iloc[good]
         node, side = rows["node"].to_numpy(), rows["side"].to_numpy()
-        if not len(node):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
         # a block that meets itself is one block; of two, the same side's pairs belong to another task
         forest = linked_blocks(sets, side, percent)
         up = forest.roots()
@@ -272,8 +286,12 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
     links = texts.groupBy("component", "low", "high").applyInPandas(compare, "a long, b long")
     linked = components(links)
-    groups = reps.join(linked, "node", "left").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.coalesce("component", "node").alias("group_id"))
-    return sets.join(groups, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left").select("doc_id", "n_shingles", F.coalesce("group_id", "doc_id").alias("component_id"))
+    own = reps.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    leasts = own.groupBy("component").agg(F.min("first").alias("least"))
+    groups = own.join(leasts, "component").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "least")
+    out = sets.join(groups, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left")
+    alone = F.col("least").isNull()
+    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), "key", F.when(alone, F.col("key")).otherwise(F.col("least.key")).alias("first_key")), repeated
 
 
 def _set_hash(s: np.ndarray) -> tuple[int, int]:
@@ -283,6 +301,12 @@ def _set_hash(s: np.ndarray) -> tuple[int, int]:
 
 
 def one_of_each_group(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """The rows of `docs`, with all their columns, that are the least doc_id of their group, or have no doc_id."""
-    gone = jaccard_groups(docs, n, percent).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
+    """The rows of `docs`, with all their columns, one of each group: that of the least doc_id, a null one coming last.
+
+    Rows are judged one by one, so rows that share a doc_id but not a text stay or go by their own groups; of rows equal in
+    doc_id and text one stays. Rows without words belong to no group and stay, repeated or not.
+    """
+    rows, repeated = _grouped(docs, n, percent)
+    gone = rows.where("key <> first_key").select(F.col("key").alias("_gone")).distinct()
+    left = docs.withColumn("_key", _key(docs)).join(gone, F.col("_key") == F.col("_gone"), "left_anti")
+    return _once(left, "_key", repeated.withColumnRenamed("key", "_key")).drop("_key")

@@ -73,6 +73,10 @@ def test_jaccard_nulls_and_repeats(spark):
     rows = [(None, "a b c d"), (3, "a b c d"), (2, "a b c d"), (2, "a b c d"), (2, "other text here now"), (None, None)]
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.jaccard_groups(spark.createDataFrame(rows, schema)).collect())
     assert got == sorted([("None", 2, "2"), ("3", 2, "2"), ("2", 2, "2"), ("2", 2, "2"), ("2", 2, "2"), ("None", 0, "None")])
+    mixed = [(1, "a b c d"), (2, "e f g h"), (2, "a b c d"), (3, "e f g h"), (4, "x y z w"), (4, "x y z w"), (None, "x y z w"), (None, "only here now"), (None, "only here now"), (5, None), (5, None)]
+    left = ngram_join.one_of_each_group(spark.createDataFrame([(*r, "k") for r in mixed], schema + ", key string"))
+    assert left.columns == ["doc_id", "text", "key"]
+    assert sorted((str(r.doc_id), str(r.text)) for r in left.collect()) == sorted([("1", "a b c d"), ("2", "e f g h"), ("4", "x y z w"), ("None", "only here now"), ("5", "None"), ("5", "None")])
     assert not ngram_join.jaccard_groups(spark.createDataFrame([], schema)).collect()
     kept = ngram_join.one_of_each_group(spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, None)], schema))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
@@ -81,7 +85,7 @@ def test_jaccard_nulls_and_repeats(spark):
 @pytest.mark.parametrize("block", [2048, 7])
 def test_near_vectors(spark, monkeypatch, block):
     monkeypatch.setattr(near_embed, "BLOCK", block)
-    monkeypatch.setattr(near_embed, "LISTS", 4)
+    monkeypatch.setattr(near_embed, "LISTS", (4, 4))
     rng = np.random.default_rng(3)
     rows = []
     for g in range(12):
@@ -103,3 +107,23 @@ def test_near_vectors(spark, monkeypatch, block):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_embed.near_vectors(df).collect()}
     assert got == {i: (a, b, b == i) for i, (a, b) in want.items()}
     assert not near_embed.near_vectors(df.limit(0)).collect()
+
+
+def test_near_vectors_of_any_magnitude_and_label(spark):
+    rows = [(1, [1e200, 1e200], "x"), (2, [1e200, 1.0001e200], "x"), (3, [1e-200, 1e-200], "x"), (4, [5e-324, 5e-324], "x"), (5, [1.0, 1.0], "y"), (6, [3.0, 3.0], "y"), (7, [1.0, -1.0], "x"), (6, [1.0, -1.0], "y"), (None, [2.0, 2.0], "y"), (None, [9.0, 1.0], "z")]
+    got = {(r.vec_id, r.n_links, r.component_id) for r in near_embed.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got >= {(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 3, 1), (7, 0, 7), (6, 0, 6), (None, 0, None)}
+    assert {(i, n) for i, n, _ in got if i == 5} == {(5, 2)}
+
+
+def test_recall_of_near_vectors_in_many_dimensions(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(150, 64))
+    x = np.repeat(base, 6, 0) + rng.normal(size=(900, 64)) * rng.choice([0.05, 0.1, 0.13, 0.15], (900, 1))
+    x[:300] = np.repeat(base[:50], 6, 0)
+    x[np.arange(300), rng.integers(0, 64, 300)] += rng.choice([0.5, 1.0, 1.2], 300)  # the whole difference in one component
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (u @ u.T >= 0.98).sum(1) - 1
+    got = np.array([r.n_links for r in near_embed.near_vectors(df).orderBy("vec_id").collect()])
+    assert (got <= want).all() and got.sum() >= 0.99 * want.sum()
