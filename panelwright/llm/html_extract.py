@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -44,18 +45,31 @@ _MARKS = re.compile(r"[.,;:!?…、。，]")
 _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption caption summary address".split())
 
 
+@dataclass
+class Node:
+    """An open element: its tag, the number of its tag path and of the element around it, and what it or one around it is marked as."""
+
+    tag: str
+    path: int
+    number: int
+    furniture: bool
+    marked: int
+
+
 @dataclass
 class Block:
     """A run of text that no block element interrupts: its path, text and linked characters.
 
-    `within` numbers the elements around it, outermost first; `marked` is the outermost one marked as the article, or -1.
+    `path` and `above` number the tag path and the one around it, `leaf` is the innermost tag, `within` the number of the
+    innermost element, `marked` that of the outermost element marked as the article, or -1.
     """
 
-    path: tuple[str, ...]
+    path: int
+    above: int
+    leaf: str
     furniture: bool
-    article: bool
-    within: tuple[int, ...] = ()
-    marked: int = -1
+    within: int
+    marked: int
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -77,25 +91,37 @@ def _marks(attributes: str) -> tuple[str, bool, bool]:
     return name, furniture and not (article and key == "itemprop"), article
 
 
-def blocks(html: str) -> list[Block]:
-    """The text blocks of a page in order. Unclosed elements end where HTML lets them end; an unfinished tag is dropped."""
-    stack: list[tuple[str, str, bool, bool, int]] = []  # element, its name in the path, furniture, article, number
+def blocks(html: str) -> tuple[list[Block], list[int]]:
+    """The text blocks of a page in order, and for each element's number that of the element around it, or -1.
+
+    Unclosed elements end where HTML lets them end; an unfinished tag is dropped. The time is linear in the page, however
+    deep it nests: paths are numbered, and the places of open elements are kept by tag.
+    """
+    stack = [Node("", 0, -1, False, -1)]
+    places: dict[str, list[int]] = defaultdict(list)
+    paths: dict[tuple[int, str], int] = {}
+    above, around = [-1], []
     out: list[Block] = []
     current: Block | None = None
-    links, at, number = 0, 0, 0
+    links, at = 0, 0
 
     def add(raw: str) -> None:
         nonlocal current
         if not raw:
             return
         if current is None:
-            current = Block(tuple(x[1] for x in stack), any(x[2] for x in stack), any(x[3] for x in stack), tuple(x[4] for x in stack), next((x[4] for x in stack if x[3]), -1))
+            top = stack[-1]
+            current = Block(top.path, above[top.path], top.tag, top.furniture, top.number, top.marked)
             out.append(current)
         text = unescape(raw) if "&" in raw else raw
         current.parts.append(text)
         if links:
             current.linked += len(text.strip())
 
+    def cut(k: int) -> None:
+        while len(stack) > k:
+            places[stack.pop().tag].pop()
+
     while (m := _TOKEN.search(html, at)) is not None:
         add(html[at : m.start()])
         at = m.end()
@@ -116,95 +142,106 @@ def blocks(html: str) -> list[Block]:
             continue
         current, links = None, 0
         if m[1]:
-            names = [x[0] for x in stack]
-            if tag in names:
-                del stack[len(names) - 1 - names[::-1].index(tag) :]
+            if places[tag]:
+                cut(places[tag][-1])
             continue
-        names = [x[0] for x in stack]
-        if tag not in ("option", "head", "body") and "p" in names and not {"table", "button"} & set(names[names.index("p") :]):
-            del stack[names.index("p") :]
+        last = lambda tags: max((places[t][-1] for t in tags if places[t]), default=0)
+        if tag not in ("option", "head", "body") and places["p"] and last(("table", "button")) < places["p"][0]:
+            cut(places["p"][0])
         elif tag in ENDS:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ENDS[tag]:
-                    del stack[k:]
-                elif stack[k][0] in ("ul", "ol", "dl", "table", "div", "article", "section", "nav"):
-                    break
+            floor = last(("ul", "ol", "dl", "table", "div", "article", "section", "nav"))
+            ended = [own[i] for own in map(places.__getitem__, ENDS[tag]) if (i := bisect_right(own, floor)) < len(own)]
+            if ended:
+                cut(min(ended))
         if tag in VOID or m[3].endswith("/") and tag not in ("p", "div"):
             continue
         name, furniture, article = _marks(m[3]) if m[3] else ("", False, False)
+        top = stack[-1]
         if tag in ("article", "main"):
             article, furniture = True, False
         if tag in ("html", "body"):
             article = furniture = False
         if tag == "header":
-            furniture |= not any(x[3] for x in stack)
-        stack.append((tag, tag + name, furniture or tag in NEVER, article, number))
-        number += 1
+            furniture |= top.marked < 0
+        path = paths.setdefault((top.path, tag + name), len(above))
+        if path == len(above):
+            above.append(top.path)
+        marked = top.marked if top.marked >= 0 else len(around) if article else -1
+        places[tag].append(len(stack))
+        stack.append(Node(tag, path, len(around), top.furniture or furniture or tag in NEVER, marked))
+        around.append(top.number)
     add(html[at:])
     for b in out:
         b.text = _SPACE.sub(" ", "".join(b.parts)).strip()
-    return [b for b in out if b.text]
+    return [b for b in out if b.text], around
 
 
-def _bonus(left: list[Block], plain: np.ndarray) -> np.ndarray:
+def _bonus(left: list[Block], around: list[int], plain: np.ndarray) -> np.ndarray:
     """Each block's factor for the article mark: 1 without it, else 1 to MARK by text.
 
     The unlinked characters of the marked element are weighed against those of the largest unmarked element that holds
     no marked one: cards beside a long unmarked body gain next to nothing, an article beside short boxes nearly MARK.
     """
-    around = {k for b in left if b.article for k in b.within}
+    holds = [False] * len(around)
+    for b in left:
+        k = b.within if b.marked >= 0 else -1
+        while k >= 0 and not holds[k]:
+            holds[k], k = True, around[k]
+    outer: list[int] = []  # the outermost element around each that holds no marked one
+    for k, up in enumerate(around):
+        outer.append(outer[up] if up >= 0 and outer[up] >= 0 else -1 if holds[k] else k)
     marked: dict[int, float] = defaultdict(float)
     others: dict[int, float] = defaultdict(float)
     for b, n in zip(left, plain.tolist(), strict=True):
-        if b.article:
+        if b.marked >= 0:
             marked[b.marked] += n
         else:
-            others[next((k for k in b.within if k not in around), -1)] += n
+            others[outer[b.within] if b.within >= 0 else -1] += n
     rival = max(others.values(), default=0.0)
-    return np.array([1 + (MARK - 1) * marked[b.marked] / max(marked[b.marked] + rival, 1.0) if b.article else 1.0 for b in left])
+    return np.array([1 + (MARK - 1) * marked[b.marked] / max(marked[b.marked] + rival, 1.0) if b.marked >= 0 else 1.0 for b in left])
 
 
-def content(found: list[Block], threshold: float = 0.08) -> list[Block]:
+def content(found: list[Block], around: list[int], threshold: float = 0.08) -> list[Block]:
     """The blocks of main text.
 
     Per path: unlinked characters and punctuation per node, damped by the share of linked text. Nodes' ratios are
     raised by a bounded bonus for the article mark, smoothed along the page and fused with their path's; a node is
     content if the fused ratio is at least `threshold` of the largest, whether marked or not. Blocks that lie directly
-    in the container of the strongest path belong to it however short. Blocks of links alone and furniture never count.
+    in the container of the strongest path belong to it however short. Furniture never counts, nor do list items and
+    boxes of a path whose text is links for the most part; a linked one among others of plain text does.
     """
     left = [b for b in found if not b.furniture]
     if not left:
         return []
-    groups: dict[tuple, list[int]] = defaultdict(list)
+    groups: dict[int, list[int]] = defaultdict(list)
     for i, b in enumerate(left):
         groups[b.path].append(i)
     length = np.array([len(b.text) for b in left], float)
     linked = np.minimum(length, [b.linked for b in left])
     marks = np.array([len(_MARKS.findall(b.text)) for b in left], float)
-    ratio = np.zeros(len(left))
+    ratio, share = np.zeros(len(left)), np.zeros(len(left))
     for own in groups.values():
         n, text = len(own), length[own].sum()
-        plain = 1 - linked[own].sum() / text
-        ratio[own] = plain**2 * np.log1p(text / n) * np.log1p(text) * (1 + np.log1p(marks[own].sum() / n))
-    ratio *= _bonus(left, length - linked)
+        share[own] = linked[own].sum() / text
+        ratio[own] = (1 - share[own]) ** 2 * np.log1p(text / n) * np.log1p(text) * (1 + np.log1p(marks[own].sum() / n))
+    ratio *= _bonus(left, around, length - linked)
     kernel = np.array([0.06, 0.24, 0.4, 0.24, 0.06])
     smooth = np.convolve(np.pad(ratio, 2, mode="edge"), kernel, mode="valid")
     fused = np.sqrt(ratio * smooth)
-    best = int(fused.argmax())
-    container = left[best].path[:-1] if left[best].path[-1:] and left[best].path[-1].split(".")[0] in _LEAVES else left[best].path
-    limit = threshold * fused[best]
+    best = left[int(fused.argmax())]
+    container = best.above if best.leaf in _LEAVES else best.path
+    limit = threshold * fused.max()
     chosen = []
     for i, b in enumerate(left):
-        leaf = b.path[-1].split(".")[0] if b.path else ""
-        links = linked[i] > 0.5 * length[i] and not (b.article and leaf not in ("li", "ul", "div"))
-        direct = b.path == container or b.path[:-1] == container and leaf in _LEAVES
+        links = share[i] > 0.5 if b.marked >= 0 and b.leaf in ("li", "ul", "div") else linked[i] > 0.5 * length[i] and b.marked < 0
+        direct = b.path == container or b.above == container and b.leaf in _LEAVES
         if not links and (direct or fused[i] >= limit):
             chosen.append(b)
     return chosen
 
 
 def extract(html: str | None) -> str:
-    return "\n".join(b.text for b in content(blocks(html or "")))
+    return "\n".join(b.text for b in content(*blocks(html or "")))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
