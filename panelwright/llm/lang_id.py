@@ -14,10 +14,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .labelled import excerpt
 from .runtime import keep_where, slices, tidied
 from .words import WordTable, code_points, gram_hashes, word_hashes
 
-#: Documents, characters of one, and words that the field is fitted on, at most.
+#: Documents, characters of one (from a place given by its doc_id), and words that the field is fitted on, at most.
 DOCS, LONGEST, WORDS = 1500, 20_000, 90_000
 #: Documents of each language that the field is fitted on, at least, where there are as many; beyond DOCS if need be.
 EACH = 100
@@ -26,7 +27,7 @@ HELD, LOST = 2000, 0.001
 #: Hash buckets of features; words of a language's lexicon; words of a training sequence; optimiser steps.
 DIM, LEXICON, LENGTH, STEPS = 1 << 16, 2000, 48, 30
 #: Bytes of texts that a worker labels at a time; a word takes some 200 bytes of arrays meanwhile.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: What a text without letters gets.
 UNDETERMINED = "und"
 
@@ -226,7 +227,7 @@ def fitted(docs: DataFrame) -> Broadcast:
     ids = known.select("doc_id", "lang")
     each = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("k") <= EACH).drop("k")
     picked = ids.orderBy(*order).limit(DOCS).union(each).distinct()
-    texts = known.withColumn("text", F.substring("text", 1, LONGEST)).join(F.broadcast(picked), ["doc_id", "lang"], "left_semi")
+    texts = known.withColumn("text", excerpt(F.col("text"), F.col("doc_id"), LONGEST)).join(F.broadcast(picked), ["doc_id", "lang"], "left_semi")
     found: pd.DataFrame = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).withColumn("order", F.xxhash64("doc_id")).toPandas()
     found = found.sort_values(["order", "doc_id", "lang"])
     return spark.sparkContext.broadcast(fit(found["text"].tolist(), found["lang"].tolist()))
@@ -265,7 +266,7 @@ def least_score(docs: DataFrame, field: Field) -> float:
     if len(field.states) < 2:
         return 0.0
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.substring("text", 1, LONGEST).alias("text")).where((rest == 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", excerpt(F.col("text"), F.col("doc_id").cast("long"), LONGEST).alias("text")).where((rest == 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     picked = held.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(HELD)
     found = held.join(F.broadcast(picked.distinct()), "doc_id", "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toPandas()
     labeller, right = Labeller(field), []

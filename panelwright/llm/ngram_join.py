@@ -285,7 +285,7 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFram
         return pd.DataFrame({"a": node[moved], "b": node[up[moved]]})
 
     links = texts.groupBy("component", "low", "high").applyInPandas(compare, "a long, b long")
-    linked = components(links)
+    linked = components(links, stars=True)
     own = reps.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     leasts = own.groupBy("component").agg(F.min("first").alias("least"))
     groups = own.join(leasts, "component").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "least")

@@ -17,16 +17,19 @@ from .units import CAP, SLICE, ByteEncoder, kept
 
 #: Pieces that one task packs; more are dealt to more tasks. At most about one sequence a group is lost to that.
 GROUP = 60_000
-#: Rounds of the local search over the underfull bins of a group.
-ROUNDS = 40
 
 
 class Bins:
-    """Bins of pieces by length. The free places are indexed by a bit mask, so the best fit is one bit scan."""
+    """Bins of pieces by length. Free places are indexed by a bit mask, so the best fit is one bit scan.
+
+    `reach` indexes each piece of an underfull bin by its length and the bin's free places together: the most that can
+    stand in the piece's stead.
+    """
 
     def __init__(self, size: int) -> None:
         self.size, self.held, self.free = size, [], []
         self.by_free, self.mask = defaultdict(set), 0
+        self.reach, self.reach_mask = defaultdict(set), 0
 
     def _index(self, k: int) -> None:
         f = self.free[k]
@@ -39,12 +42,36 @@ class Bins:
         if not self.by_free[f]:
             self.mask &= ~(1 << f)
 
+    def _index_pieces(self, k: int) -> None:
+        if f := self.free[k]:
+            for x in self.held[k]:
+                self.reach[x + f].add((k, x))
+                self.reach_mask |= 1 << x + f
+
+    def _unindex_pieces(self, k: int) -> None:
+        if f := self.free[k]:
+            for x in self.held[k]:
+                self.reach[x + f].discard((k, x))
+                if not self.reach[x + f]:
+                    self.reach_mask &= ~(1 << x + f)
+
     def best(self, length: int) -> int | None:
         """A bin of the least free room that holds `length`."""
         if high := self.mask >> length:
             return min(self.by_free[length + (high & -high).bit_length() - 1])
         return None
 
+    def partner(self, length: int, most_free: int, but: int) -> tuple[int, int] | None:
+        """A bin and a piece of it, shorter than `length`, which `length` can replace with the least room left over."""
+        high, at = self.reach_mask >> length, length
+        while high:
+            step = (high & -high).bit_length() - 1
+            at, high = at + step, high >> step + 1
+            if fits := [(k, x) for k, x in self.reach[at] if x < length and k != but and self.free[k] <= most_free]:
+                return min(fits)
+            at += 1
+        return None
+
     def add(self, length: int) -> None:
         k = self.best(length)
         if k is None:
@@ -57,66 +84,52 @@ class Bins:
         self.free[k] -= length
         self._index(k)
 
-    def change(self, k: int, out: list[int], into: list[int]) -> None:
+    def change(self, k: int, out: tuple[int, ...], into: tuple[int, ...]) -> None:
         self._unindex(k)
+        self._unindex_pieces(k)
         for x in out:
             self.held[k].remove(x)
         self.held[k] += into
         self.free[k] += sum(out) - sum(into)
         self._index(k)
-
-
-def local_search(bins: Bins, rounds: int = ROUNDS, donors: int = 64) -> None:
-    """Empty underfull bins: move pieces out of the emptiest ones, or exchange one or two for one, where squared fill grows.
-
-    A donor is one of the emptiest bins that hold a piece. Each of its pieces is moved to the bin where it fits best;
-    else one piece, or two together, are exchanged for a shorter piece of a fuller bin, such that this bin gains and
-    the donor loses. Every step increases the sum of squared fills, so the search ends; `rounds` bounds it as well.
+        self._index_pieces(k)
+
+
+def _step(bins: Bins, d: int) -> bool:
+    """Move a piece, or exchange one or two pieces, of bin `d` for a shorter one of a bin at least as full; whether it was done."""
+    held, free = sorted(bins.held[d], reverse=True), bins.free[d]
+    for a in held:
+        bins._unindex(d)
+        k = bins.best(a)
+        bins._index(d)
+        if k is not None and bins.held[k] and bins.free[k] - a < free:
+            bins.change(d, (a,), ())
+            bins.change(k, (), (a,))
+            return True
+    for out in dict.fromkeys([(a,) for a in held] + [(held[i], held[j]) for i in range(len(held)) for j in range(i + 1, len(held))]):
+        if sum(out) <= bins.size and (found := bins.partner(sum(out), free, d)):
+            k, x = found
+            bins.change(d, out, (x,))
+            bins.change(k, (x,), out)
+            return True
+    return False
+
+
+def local_search(bins: Bins) -> None:
+    """Empty underfull bins: move pieces out of them, or exchange one or two for one, where squared fill grows.
+
+    Every underfull bin is a donor, the emptiest first: a piece is moved to the bin that it fits best; else one piece, or
+    two together, are exchanged for a shorter piece of a bin at least as full, which so gains what the donor loses. Each
+    step increases the sum of squared fills, so the search ends: when a pass over all underfull bins changes nothing.
     """
-    size = bins.size
-    for _ in range(rounds):
+    for k in range(len(bins.held)):
+        bins._index_pieces(k)
+    improved = True
+    while improved:
         improved = False
-        open_bins = [k for k in range(len(bins.held)) if bins.held[k] and bins.free[k] > 0]
-        open_bins.sort(key=lambda k: -bins.free[k])
-        if len(open_bins) < 2:
-            return
-        partners = open_bins[:4096]
-        for d in open_bins[:donors]:
-            for a in sorted(bins.held[d], reverse=True):
-                if a not in bins.held[d]:
-                    continue
-                fill_d = size - bins.free[d]
-                bins._unindex(d)
-                k = bins.best(a)
-                bins._index(d)
-                if k is not None and bins.held[k] and size - bins.free[k] + a > fill_d:
-                    bins.change(d, [a], [])
-                    bins.change(k, [], [a])
-                    improved = True
-                    continue
-                done = False
-                pairs = [(a,)] + [(a, b) for b in {*bins.held[d]} if b != a]
-                for out in pairs:
-                    whole = sum(out)
-                    best = None
-                    for k in partners:
-                        if k == d or not bins.held[k] or size - bins.free[k] < fill_d:
-                            continue
-                        for b in {*bins.held[k]}:
-                            gain = whole - b
-                            if 0 < gain <= bins.free[k] and (best is None or bins.free[k] - gain < best[0]):
-                                best = (bins.free[k] - gain, k, b)
-                        if best and best[0] == 0:
-                            break
-                    if best:
-                        bins.change(d, list(out), [best[2]])
-                        bins.change(best[1], [best[2]], list(out))
-                        improved = done = True
-                        break
-                if not done:
-                    continue
-        if not improved:
-            return
+        for d in sorted((k for k in range(len(bins.held)) if bins.held[k] and bins.free[k]), key=lambda k: -bins.free[k]):
+            while bins.held[d] and bins.free[d] and _step(bins, d):
+                improved = True
 
 
 def pack_lengths(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ CATEGORIES = ("low_quality", "toxic", "toxic_low_quality")
 #: Labelled texts without and with toxicity that the chain is fitted on, at most; the probability that rejects a text.
 MOST, REJECTED_FROM = {0: 2500, 1: 1500}, 0.5
 #: Bytes of texts that a worker scores at a time.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Broadcast:
@@ -37,7 +37,7 @@ def _probabilities(scorer: Scorer, texts: list[str | None]) -> tuple[np.ndarray,
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, a probability per category, toxic and kept (its opposite) for every row of `docs` (doc_id, text).
 
-    `labels` has doc_id, quality and toxic (0 or 1); other columns are ignored. The models are fitted on a bounded
+    `labels` has doc_id, quality and toxic (0 or 1); other columns are ignored. A null quality counts as good. The models are fitted on a bounded
     sample, with out-of-fold probabilities of earlier categories, and calibrated on out-of-fold scores. A null or empty
     text scores as one without words. Rows of null or repeated doc_id are answered each; an empty table gives no rows.
     Without toxic labels no text is toxic. Scoring is one pass without a shuffle.

@@ -112,6 +112,68 @@ def test_local_search_empties_bins():
     assert sorted(x for h in bins.held for x in h) == [2, 3, 4, 4, 5, 6]
 
 
+def optimum(lengths: list[int], size: int) -> int:
+    best = len(lengths)
+
+    def place(i: int, rooms: list[int]) -> None:
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for k in {r: k for k, r in enumerate(rooms)}.values():
+            if rooms[k] >= lengths[i]:
+                place(i + 1, [r - lengths[i] * (j == k) for j, r in enumerate(rooms)])
+        place(i + 1, [*rooms, size - lengths[i]])
+
+    lengths = sorted(lengths, reverse=True)
+    place(0, [])
+    return best
+
+
+def test_packing_against_the_optimum():
+    rng, over = np.random.default_rng(3), 0
+    for _ in range(150):
+        lengths = rng.integers(1, 31, rng.integers(1, 11))
+        bin_of, offset = packing.pack_lengths(lengths, 30)
+        for k in np.unique(bin_of):
+            own = sorted(zip(offset[bin_of == k].tolist(), lengths[bin_of == k].tolist(), strict=True))
+            assert [o for o, _ in own] == np.cumsum([0] + [n for _, n in own[:-1]]).tolist() and sum(n for _, n in own) <= 30
+        over += len(np.unique(bin_of)) - optimum(lengths.tolist(), 30)
+    assert over <= 3
+
+
+def test_equal_pieces_are_exchanged_together():
+    bins = packing.Bins(10)
+    bins.held, bins.free = [[3, 3], [5, 4]], [4, 1]
+    for k in range(2):
+        bins._index(k)
+    packing.local_search(bins)
+    assert sorted(bins.free) in ([0, 5], [1, 4]) and sorted(x for h in bins.held for x in h) == [3, 3, 4, 5]
+
+
+def test_large_groups_meet_the_lower_bound():
+    rng = np.random.default_rng(7)
+    lengths = np.minimum(rng.geometric(1 / 350, 30_000), 2048)
+    bin_of, _ = packing.pack_lengths(lengths, 2048)
+    assert len(np.unique(bin_of)) <= -(-lengths.sum() // 2048) + 2
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError, match="proven"):
+        ByteEncoder(WORDS)
+    with pytest.raises(ValueError, match="proven"):
+        UnitCounter(BYTES)
+
+
+def test_line_feeds(odd):
+    tok, rng = library(BYTES), random.Random(9)
+    parts = ["a", "Word", "über", ".", ",\n", "\n", "\n\n", "\n\n\n", " ", " \n", "\n ", "<|endoftext|>", "1", "\u00a0", "\x1c", "'s", "\n'll"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(4000)]
+    assert [x.tolist() for x in ByteEncoder(BYTES, cap=60).ids(texts)] == [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def test_pieces_equal_the_library(spark, docs, odd):
     import public_tokenizers
     import sentencepiece
