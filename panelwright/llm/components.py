@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import drop_written, tidied, written
+from .runtime import drop_written, written
 
 
 class Forest:
@@ -41,32 +38,17 @@ class Forest:
             up[:] = above
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stars in place of the edges of one batch: at most a row a node, the same components."""
-    for batch in batches:
-        ends = np.concatenate([batch.column("a").to_numpy(), batch.column("b").to_numpy()])
-        nodes, at = np.unique(ends, return_inverse=True)
-        forest, n = Forest(len(nodes)), batch.num_rows
-        for x, y in zip(at[:n].tolist(), at[n:].tolist(), strict=True):
-            forest.join(x, y)
-        roots = forest.roots()
-        own = np.flatnonzero(roots != np.arange(len(nodes)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[roots[own]])], ["a", "b"])
-
-
-def components(edges: DataFrame, stars: bool = False) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges` (a long, b long): the least node that it reaches.
 
     Each round makes, with m the least of a node and its neighbours, a large star (larger neighbours to m) and then a
     small star (the node and its smaller neighbours to m); it ends when a round changes nothing, after about the
     logarithm of the longest path. Only (a, b) pairs are shuffled, at most a row per edge, partial minima first; a hub's
     rows are dealt by joins that adaptive execution splits. Every round is written to the shared folder. Nulls and loops
-    are no edges; an empty table has no components; repeated edges don't matter. `stars` tells that `edges` come from
-    tasks that contract them already, so no second Python worker runs beside those.
+    are no edges; an empty table has no components; repeated edges don't matter.
     """
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
-    contracted = edges if stars else edges.mapInArrow(tidied(_contract), "a long, b long")
-    now = written(contracted.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

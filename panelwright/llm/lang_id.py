@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import excerpt
@@ -20,7 +20,8 @@ from .words import WordTable, code_points, gram_hashes, word_hashes
 
 #: Documents, characters of one (from a place given by its doc_id), and words that the field is fitted on, at most.
 DOCS, LONGEST, WORDS = 1500, 20_000, 90_000
-#: Documents of each language that the field is fitted on, at least, where there are as many; beyond DOCS if need be.
+#: Half the buckets of documents of a language, by a hash, the first of each of which the field is fitted on besides DOCS, so
+#: that a rare language has nearly all of its documents in the sample, or more than EACH.
 EACH = 100
 #: Held-out documents that the stage's limit is taken from, at most; the share of them that it may cost.
 HELD, LOST = 2000, 0.001
@@ -219,13 +220,14 @@ class Labeller:
 
 
 def fitted(docs: DataFrame) -> Broadcast:
-    """The field, fitted on a bounded sample of the rows that aren't held out: DOCS of all, and EACH of every language."""
+    """The field, fitted on a bounded sample of the rows that aren't held out: DOCS of all, and some of every language."""
     spark = docs.sparkSession
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where((rest != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = known.select("doc_id", "lang")
-    each = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("k") <= EACH).drop("k")
+    of_bucket = F.min(F.struct(order[0].alias("h"), "doc_id")).alias("first")  # partial minima: no task gets all rows of a language
+    each = ids.groupBy("lang", F.pmod(order[0], F.lit(2 * EACH)).alias("bucket")).agg(of_bucket).select("first.doc_id", "lang")
     picked = ids.orderBy(*order).limit(DOCS).union(each).distinct()
     texts = known.withColumn("text", excerpt(F.col("text"), F.col("doc_id"), LONGEST)).join(F.broadcast(picked), ["doc_id", "lang"], "left_semi")
     found: pd.DataFrame = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).withColumn("order", F.xxhash64("doc_id")).toPandas()
