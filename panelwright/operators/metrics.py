@@ -33,3 +33,13 @@ def newey_west(df: DataFrame, keys: list[str], order: str, value: str, lags: int
     for k in range(1, lags + 1):
         long_run = long_run + F.lit(2.0 * (1 - k / (lags + 1))) * F.coalesce(F.sum(f"u{k}"), F.lit(0.0)) / n
     return d.groupBy(*keys).agg(n.alias("n"), F.avg(value).alias("mean"), F.when(long_run > 0, F.avg(value) / F.sqrt(long_run / n)).alias("t_stat"))
+
+
+def exact_binomial_p(x, y):
+    """Two-sided probability of x against y successes under even odds; terms by a running ratio, from the centre's scale."""
+    n, k = x + y, F.least(x, y)
+    step = lambda acc, i: F.struct((acc["log"] + F.log((n - i + 1) / i)).alias("log"), (acc["tail"] + F.exp(acc["log"] + F.log((n - i + 1) / i))).alias("tail"))
+    log0 = -n * F.log(F.lit(2.0))
+    start = F.struct(log0.alias("log"), F.exp(log0).alias("tail"))
+    terms = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(terms, start, step)["tail"]))
