@@ -62,7 +62,7 @@ def complete_days(returns: DataFrame, expected: list[str]) -> DataFrame:
 
 def equal_weight_others(returns: DataFrame, members: int) -> DataFrame:
     """For each symbol, the log return of the equally weighted basket of all others, where all of them are observed."""
-    a, b = returns.alias("a"), returns.alias("b")
-    joined = a.join(b, (F.col("a.day") == F.col("b.day")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.symbol") != F.col("b.symbol")))
-    basket = joined.groupBy(F.col("a.symbol").alias("symbol"), F.col("a.day").alias("day"), F.col("a.key").alias("key")).agg(F.first("a.r").alias("own"), F.avg(F.expm1("b.r")).alias("m"), F.count("*").alias("n"))
-    return basket.where(F.col("n") == members - 1).select("symbol", "day", "key", "own", F.log1p("m").alias("basket"))
+    w = Window.partitionBy("day", "key")
+    simple = F.expm1("r")
+    basket = returns.select("symbol", "day", "key", F.col("r").alias("own"), F.count("*").over(w).alias("n"), ((F.sum(simple).over(w) - simple) / (members - 1)).alias("m"))
+    return basket.where(F.col("n") == members).select("symbol", "day", "key", "own", F.log1p("m").alias("basket"))

@@ -20,15 +20,18 @@ def asof_forward(events: DataFrame, at: str, sessions: DataFrame, cutoff: str, s
     """The first session whose cutoff is at or after (strictly after) each event's time, without a range join.
 
     Events and cutoffs are bucketed by day; a cutoff stands for every day since the cutoff before it, so that the join
-    is an equality on the day and the answer the earliest fitting cutoff. Events after the last cutoff get null.
+    is an equality on the day and the answer the earliest fitting cutoff. Events before the first cutoff's day get that
+    cutoff, however early; events after the last one get null.
     """
     w = Window.orderBy(cutoff)
     before = F.lag(F.to_date(cutoff)).over(w)
-    bounds = sessions.select(cutoff).distinct().select(F.col(cutoff), F.to_date(cutoff).alias("d"), F.coalesce(before, F.to_date(cutoff) - F.expr("interval 366 days")).cast("date").alias("from"))
+    bounds = sessions.select(cutoff).distinct().select(F.col(cutoff), F.to_date(cutoff).alias("d"), F.coalesce(before, F.to_date(cutoff)).alias("from"))
     spread = bounds.select(cutoff, F.explode(F.sequence("from", "d")).alias("d")).groupBy("d").agg(F.sort_array(F.collect_list(cutoff)).alias("cuts"))
     fits = (lambda c: c > F.col(at)) if strict else (lambda c: c >= F.col(at))
-    joined = events.withColumn("d", F.to_date(at)).join(spread, "d", "left")
-    return joined.withColumn(cutoff, F.get(F.filter("cuts", fits), F.lit(0))).drop("cuts", "d")
+    first = sessions.agg(F.min(cutoff).alias("first_cut"))
+    joined = events.withColumn("d", F.to_date(at)).join(spread, "d", "left").crossJoin(F.broadcast(first))
+    early = F.when(fits(F.col("first_cut")), F.col("first_cut"))
+    return joined.withColumn(cutoff, F.coalesce(F.get(F.filter("cuts", fits), F.lit(0)), early)).drop("cuts", "d", "first_cut")
 
 
 def split_of(date: Column, end: Column, blocks: dict[str, tuple[str, str]]) -> Column:

@@ -68,9 +68,3 @@ def average_rank_share(partition: list[str], v: Column) -> Column:
 def carried(v: Column, keys: list[str], order: list[str]) -> Column:
     """The last present value up to this row."""
     return F.last(v, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-
-
-def max_drawdown_path(r: Column, keys: list[str], order: list[str]) -> Column:
-    """Wealth over its running maximum (which starts at 1), less 1."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return F.exp(F.sum(F.log1p(r)).over(w))

@@ -140,24 +140,22 @@ def fixed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "source", F.floor(k / 20).alias("batch"), (k % 20).alias("place"))
 
 
-@query("""WITH a AS (SELECT CAST(o_orderdate AS DATE) AS day, round(sum(o_totalprice) / 100, 1) AS market FROM orders WHERE o_orderpriority LIKE '1%' AND o_custkey % 50 = 0 GROUP BY 1), b AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) / 100.0 AS momentum FROM orders WHERE o_orderpriority LIKE '2%' AND o_custkey % 50 = 1 GROUP BY 1)
+@query("""WITH a AS (SELECT CAST(o_orderdate AS DATE) AS day, round(sum(o_totalprice) / 100, 1) AS market FROM orders WHERE o_orderstatus = 'P' GROUP BY 1), b AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) / 100.0 AS momentum FROM orders WHERE o_orderpriority LIKE '2%' GROUP BY 1)
  SELECT coalesce(a.day, b.day) AS day, CAST(a.day IS NOT NULL AS INTEGER) AS has_market, momentum FROM a FULL JOIN b ON a.day = b.day WHERE coalesce(a.day, b.day) BETWEEN DATE '1995-06-01' AND DATE '2000-12-31'""")
 def merged_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two factor series merged by date, either one missing, within a range; percent become shares."""
     o = table(spark, sf_dir, "orders").withColumn("day", F.to_date("o_orderdate"))
-    a = o.where("o_orderpriority like '1%' and o_custkey % 50 = 0").groupBy("day").agg(F.lit(1).alias("m"))
-    b = o.where("o_orderpriority like '2%' and o_custkey % 50 = 1").groupBy("day").agg((F.count("*") / 100.0).alias("momentum"))
+    a = o.where("o_orderstatus = 'P'").groupBy("day").agg(F.lit(1).alias("m"))
+    b = o.where("o_orderpriority like '2%'").groupBy("day").agg((F.count("*") / 100.0).alias("momentum"))
     j = a.join(b, "day", "full").where("day between DATE '1995-06-01' and DATE '2000-12-31'")
     return j.select("day", F.coalesce("m", F.lit(0)).alias("has_market"), "momentum")
 
 
-@query("""WITH t AS (SELECT event_id, timezone('America/New_York', timezone('UTC', ts)) AS et FROM events WHERE event_type = (SELECT min(event_type) FROM events)) SELECT event_id, CAST(et AS DATE) AS release_date, strftime(et, '%H:%M') AS release_time, CAST(hour(et) * 60 + minute(et) < 570 AS INTEGER) AS before_open FROM t""")
+@query("""WITH t AS (SELECT event_id, timezone('America/New_York', timezone('UTC', ts)) AS et FROM events) SELECT event_id, CAST(et AS DATE) AS release_date, strftime(et, '%H:%M') AS release_time, CAST(hour(et) * 60 + minute(et) < 570 AS INTEGER) AS before_open FROM t""")
 def release_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Release instants in local time, and whether they come before the open."""
-    e = table(spark, sf_dir, "events")
-    first = e.agg(F.min("event_type").alias("event_type"))
     et = F.from_utc_timestamp(F.col("ts").cast("timestamp"), "America/New_York")
-    return e.join(F.broadcast(first), "event_type").select("event_id", F.to_date(et).alias("release_date"), F.date_format(et, "HH:mm").alias("release_time"), (F.hour(et) * 60 + F.minute(et) < OPEN).cast("int").alias("before_open"))
+    return table(spark, sf_dir, "events").select("event_id", F.to_date(et).alias("release_date"), F.date_format(et, "HH:mm").alias("release_time"), (F.hour(et) * 60 + F.minute(et) < OPEN).cast("int").alias("before_open"))
 
 
 @query("""WITH p AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, page_id, strlen(html) AS n FROM pages) SELECT host, count(*) AS files, min(page_id) AS first, max(page_id) AS last, CAST(sum(n) AS BIGINT) AS bytes, max(n) AS largest FROM p GROUP BY 1""")

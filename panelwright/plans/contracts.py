@@ -47,13 +47,18 @@ def key_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.key_difference(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), ["k"])
 
 
-@query(f"""{PRED}, c AS (SELECT month, nation, actual, predicted FROM q WHERE nation < 20), b AS (SELECT month, nation, actual, persistence FROM q WHERE month >= DATE '1996-01-01')
+@query(f"""{PRED}, s AS (SELECT *, count(*) OVER (PARTITION BY nation ORDER BY month ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS k FROM p), c AS (SELECT month, nation, actual, predicted FROM s WHERE k = 6), b AS (SELECT month, nation, actual, persistence FROM s WHERE actual > 0 AND persistence IS NOT NULL)
  SELECT coalesce(c.month, b.month) AS month, coalesce(c.nation, b.nation) AS nation, CASE WHEN b.nation IS NULL THEN 'candidate' WHEN c.nation IS NULL THEN 'base' ELSE 'both' END AS side, round(power(c.actual - predicted, 2), 6) AS candidate_loss, round(power(b.actual - persistence, 2), 6) AS base_loss, round(power(c.actual - predicted, 2) - power(b.actual - persistence, 2), 6) + 0.0 AS delta, CAST(c.actual = b.actual AS INTEGER) AS same_actual FROM c FULL JOIN b ON c.month = b.month AND c.nation = b.nation""")
 def prediction_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate and base predictions aligned by key, with the side that a row comes from, losses and their difference."""
-    p = predictions(spark, sf_dir)
-    c = p.where("nation < 20").select("month", "nation", F.col("actual").alias("ca"), "predicted", F.lit(1).alias("c"))
-    b = p.where("month >= DATE '1996-01-01'").select("month", "nation", F.col("actual").alias("ba"), "persistence", F.lit(1).alias("b"))
+    """Candidate and base predictions aligned by key, with the side that a row comes from, losses and their difference.
+
+    The candidate needs six sessions before, the base one session and a value: either may lack a row of the other.
+    """
+    g = month_grid(spark, sf_dir)
+    w = Window.partitionBy("nation").orderBy("month")
+    p = g.select("month", "nation", F.log1p("n").alias("actual"), F.log1p(F.lag("n").over(w)).alias("persistence"), F.avg(F.log1p("n")).over(w.rowsBetween(-6, -1)).alias("predicted"), F.count("*").over(w.rowsBetween(-6, -1)).alias("k"))
+    c = p.where("k = 6").select("month", "nation", F.col("actual").alias("ca"), "predicted", F.lit(1).alias("c"))
+    b = p.where("actual > 0 and persistence is not null").select("month", "nation", F.col("actual").alias("ba"), "persistence", F.lit(1).alias("b"))
     j = c.join(b, ["month", "nation"], "full")
     x, y = (F.col("ca") - F.col("predicted")) ** 2, (F.col("ba") - F.col("persistence")) ** 2
     side = F.when(F.col("b").isNull(), "candidate").when(F.col("c").isNull(), "base").otherwise("both")

@@ -20,11 +20,11 @@ def keyword_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("\n\n", "p_name", "p_type").alias("model_text"), F.trim(F.regexp_replace(t, "[^a-z0-9]+", " ")).alias("keyword"), F.regexp_replace(F.regexp_replace(t, "[^a-z0-9]+", "_"), "^_+|_+$", "").alias("slug"))
 
 
-@query("""WITH k AS (SELECT doc_id, text, list_distinct(string_split(lower(regexp_replace(substr(text, 1, 400), '[^A-Za-z]+', ' ', 'g')), ' ')) AS words FROM documents), m AS (SELECT doc_id, len(list_intersect(words, ['the', 'de', 'und', 'para'])) > 1 AS by_keyword, regexp_matches(lower(text), '\\bterms of use\\b|\\ball rights\\b') AS by_phrase FROM k)
+@query("""WITH k AS (SELECT doc_id, text, list_distinct(string_split(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' ')) AS words FROM documents), m AS (SELECT doc_id, len(list_intersect(words, ['the', 'de', 'und', 'para'])) > 1 AS by_keyword, regexp_matches(lower(text), '\\bterms of use\\b|\\ball rights\\b') AS by_phrase FROM k)
  SELECT doc_id, CAST(by_keyword AS INTEGER) AS by_keyword, CAST(by_phrase AS INTEGER) AS by_phrase, CAST(by_keyword OR by_phrase AS INTEGER) AS evidence FROM m""")
 def macro_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence of a macro item: enough configured keywords in its head, or a phrase in its text."""
-    words = F.array_distinct(F.split(F.lower(F.regexp_replace(F.substring("text", 1, 400), "[^A-Za-z]+", " ")), " "))
+    """Evidence of a macro item: enough configured keywords, or a phrase in its text."""
+    words = F.array_distinct(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z]+", " ")), " "))
     a = F.size(F.array_intersect(words, F.array(*map(F.lit, ("the", "de", "und", "para"))))) > 1
     b = F.lower("text").rlike(r"\bterms of use\b|\ball rights\b")
     return table(spark, sf_dir, "documents").select("doc_id", a.cast("int").alias("by_keyword"), b.cast("int").alias("by_phrase"), (a | b).cast("int").alias("evidence"))
@@ -180,16 +180,16 @@ def label_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.join(F.broadcast(rules), ["scope", "alignment"], "left").select("scope", "alignment", "records", F.coalesce("ok", F.lit(0)).alias("allowed"))
 
 
-@query("""WITH p AS (SELECT doc_id, n_chars % 10 AS part, text FROM documents WHERE n_chars % 11 <> 0), d AS (SELECT doc_id, count(*) AS k, count(DISTINCT md5(text)) AS kinds FROM (SELECT doc_id, text FROM p UNION ALL SELECT doc_id, text FROM p WHERE part = 3) GROUP BY 1), w AS (SELECT doc_id FROM documents WHERE n_chars > 50)
+@query("""WITH d AS (SELECT doc_id, count(*) AS k, count(DISTINCT h) AS kinds FROM (SELECT doc_id, md5(text) AS h FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, md5(lower(text)) FROM documents WHERE n_chars > 500) GROUP BY 1), w AS (SELECT DISTINCT doc_id FROM labels)
  SELECT 'missing' AS "check", count(*) AS violations FROM w WHERE doc_id NOT IN (SELECT doc_id FROM d) UNION ALL SELECT 'unexpected', count(*) FROM d WHERE doc_id NOT IN (SELECT doc_id FROM w) UNION ALL SELECT 'repeated', count(*) FROM d WHERE k > 1 UNION ALL SELECT 'conflicting', count(*) FROM d WHERE kinds > 1""")
 def merged_label_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of a labelling merged: documents that are missing, unexpected, repeated or in conflict."""
     from ..operators import checks as K
 
-    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.md5("text").alias("h"))
-    p = d.where("n_chars % 11 <> 0")
-    merged = p.select("doc_id", "h").unionAll(p.where("n_chars % 10 = 3").select("doc_id", "h")).groupBy("doc_id").agg(F.count("*").alias("k"), F.countDistinct("h").alias("kinds"))
-    sides = K.key_difference(d.where("n_chars > 50"), merged, ["doc_id"]).withColumn("check", F.when(F.col("check") == "only_left", "missing").otherwise("unexpected"))
+    d = table(spark, sf_dir, "documents")
+    parts = d.where("lang = 'en'").select("doc_id", F.md5("text").alias("h")).unionAll(d.where("n_chars > 500").select("doc_id", F.md5(F.lower("text")).alias("h")))
+    merged = parts.groupBy("doc_id").agg(F.count("*").alias("k"), F.countDistinct("h").alias("kinds"))
+    sides = K.key_difference(table(spark, sf_dir, "labels"), merged, ["doc_id"]).withColumn("check", F.when(F.col("check") == "only_left", "missing").otherwise("unexpected"))
     return sides.unionByName(K.row_checks(merged, {"repeated": F.col("k") > 1, "conflicting": F.col("kinds") > 1}))
 
 

@@ -109,14 +109,6 @@ def result_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("event_type", "slot", "n", (F.col("n") > 6).cast("int").alias("split"), F.when(F.col("n") > 6, F.col("slot") + F.expr("interval 30 minutes")).alias("bisect"))
 
 
-@query("""WITH b AS (SELECT item_id, md5(text) AS k, length(text) AS chars FROM benchmark), d AS (SELECT DISTINCT md5(unnest(string_split(text, chr(10)))) AS k FROM documents) SELECT item_id, chars, CAST(d.k IS NOT NULL AS INTEGER) AS verbatim FROM b LEFT JOIN d USING (k)""")
-def verbatim_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a passage stands verbatim as a line of some document."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.md5("text").alias("k"), F.length("text").cast("long").alias("chars"))
-    lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line")).select(F.md5("line").alias("k")).distinct().withColumn("hit", F.lit(1))
-    return b.join(lines, "k", "left").select("item_id", "chars", F.coalesce("hit", F.lit(0)).alias("verbatim"))
-
-
 #: Bytes of a passage's anchor, at most; a power of two.
 ANCHOR = 64
 _FACTOR = 0x9E3779B97F4A7C15

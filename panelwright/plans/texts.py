@@ -116,20 +116,6 @@ def dedup_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("doc_id", "copies", F.array_join("s", ";").alias("sources"), (F.col("langs") > 1).cast("int").alias("conflict"))
 
 
-_LINK = r"""WITH d AS (SELECT doc_id, md5(text) AS whole, md5(split_part(text, chr(10), 1)) AS first, n_chars FROM documents WHERE doc_id % 2 = 0), e AS (SELECT doc_id AS other, md5(text) AS whole, md5(split_part(text, chr(10), 1)) AS first, n_chars FROM documents WHERE doc_id % 2 = 1),
- m AS (SELECT d.doc_id, other, 1 AS priority FROM d JOIN e USING (whole) UNION ALL SELECT d.doc_id, other, 2 FROM d JOIN e ON d.first = e.first AND d.n_chars = e.n_chars)
- SELECT doc_id, arg_min(other, row(priority, other)) AS match, min(priority) AS priority FROM m GROUP BY 1"""
-
-
-@query(_LINK)
-def match_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Linkage of two record sets by the whole text, else by first line and length; the best and least match."""
-    keyed = docs_of(spark, sf_dir).select("doc_id", F.md5("text").alias("whole"), F.md5(F.split("text", "\n", 2)[0]).alias("first"), "n_chars")
-    d, e = keyed.where("doc_id % 2 = 0"), keyed.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "other")
-    m = d.join(e, "whole").select("doc_id", "other", F.lit(1).alias("priority")).union(d.join(e, ["first", "n_chars"]).select("doc_id", "other", F.lit(2)))
-    return m.groupBy("doc_id").agg(F.min_by("other", F.struct("priority", "other")).alias("match"), F.min("priority").alias("priority"))
-
-
 _BEST = r"""WITH d AS (SELECT DISTINCT doc_id, md5(text) AS whole, md5(split_part(text, chr(10), 1)) AS first, n_chars FROM documents), k AS (SELECT DISTINCT doc_id, 1 AS priority, whole AS key FROM d WHERE whole IS NOT NULL UNION ALL SELECT DISTINCT doc_id, 2, first || ':' || n_chars FROM d WHERE first IS NOT NULL AND n_chars IS NOT NULL),
  w AS (SELECT doc_id, priority, CASE WHEN row_number() OVER g = 1 THEN lead(doc_id) OVER g ELSE first_value(doc_id) OVER g END AS other FROM k WHERE doc_id IS NOT NULL WINDOW g AS (PARTITION BY priority, key ORDER BY doc_id))
  SELECT doc_id, arg_min(other, row(priority, other)) AS match, min(priority) AS priority FROM w WHERE other IS NOT NULL GROUP BY 1"""

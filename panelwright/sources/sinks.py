@@ -24,8 +24,11 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def write_with_sidecar(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write, and name rows and hash beside the table as it can be read again (CSV holds no difference of null and empty)."""
     write_table(df, path, mode)
-    content_hash(df.sparkSession.read.parquet(path)).coalesce(1).write.mode("overwrite").json(f"{path}.manifest")
+    reader = df.sparkSession.read.schema(df.schema)
+    back = reader.csv(path, header=True) if path.endswith((".csv", ".csv.gz")) else reader.json(path) if path.endswith((".json", ".jsonl")) else reader.parquet(path)
+    content_hash(back).coalesce(1).write.mode("overwrite").json(f"{path}.manifest")
 
 
 def append_journal(df: DataFrame, path: str) -> None:
