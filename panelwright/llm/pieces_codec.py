@@ -69,7 +69,13 @@ class Vocabulary:
             if model.is_byte(i):
                 byte_ids[int(text[i][1:-1], 16)] = i
         raw = [bytes([int(t[1:-1], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else t.encode() for i, t in enumerate(text)]
-        return cls(text, raw, rank, left, right, keys, np.array([pairs[k] for k in keys], np.int64), byte_ids, usable)
+        made = cls(text, raw, rank, left, right, keys, np.array([pairs[k] for k in keys], np.int64), byte_ids, usable)
+        rng = np.random.default_rng(1)
+        words = [t.replace(SPACE, " ") for i, t in enumerate(text) if plain[i]]
+        probes = ["", " ", "  a", "Ａ\u00a0é e\u0301 ﬁ\t\n x ", "日本\U0001f600", *("".join(rng.choice(words, 8)) for _ in range(200))] if words else [""]
+        if (byte_ids < 0).any() or [x.tolist() for x in Codec(made).encode(probes)] != model.encode(probes):
+            raise ValueError(f"{path}: not a BPE model with byte pieces that leaves texts as they are")
+        return made
 
     @staticmethod
     def _merged(piece: str, ids: dict[str, int], rank: np.ndarray) -> tuple[int, int] | None:
@@ -144,10 +150,18 @@ def occurrences(codes: np.ndarray, order: np.ndarray, pieces: np.ndarray, length
     return low, high
 
 
+#: Characters of a unit from which it is cut where no piece can reach across.
+LONG = 64
+
+
 class Codec:
-    """Encodes and decodes whole texts; keeps the ids of units that this worker has met."""
+    """Encodes and decodes whole texts; keeps the ids of units that this worker has met.
 
-    def __init__(self, vocabulary: Vocabulary, cap: int = 400_000) -> None:
+    A unit is a string, with a space mark before it; bytes are the rest of a long unit, cut between two characters that
+    no piece holds side by side, so that no merge crosses the cut.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, cap: int = 200_000) -> None:
         self.v, self.cap, self.known = vocabulary, cap, {}
         ids = np.flatnonzero(vocabulary.usable)
         ids = ids[np.argsort([len(vocabulary.text[i]) for i in ids], kind="stable")]
@@ -155,10 +169,20 @@ class Codec:
         self.codes = np.zeros((len(ids), int(self.lengths.max())), np.uint32)
         for row, i in enumerate(ids):
             self.codes[row, : self.lengths[row]] = np.frombuffer(vocabulary.text[i].encode("utf-32-le"), np.uint32)
-
-    def learn(self, units: list[str]) -> None:
+        side = (self.codes[:, :-1].astype(np.uint64) << np.uint64(32) | self.codes[:, 1:])[np.arange(self.codes.shape[1] - 1) < self.lengths[:, None] - 1]
+        self.sides = np.unique(side)
+
+    def cut(self, unit: str) -> list[str | bytes]:
+        """A long unit's parts."""
+        codes = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        free = np.flatnonzero(~np.isin(codes[:-1] << np.uint64(32) | codes[1:], self.sides)) + 1
+        ends = [0, *free.tolist(), len(unit)]
+        parts = [unit[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return [parts[0], *(p.encode("utf-8", "surrogatepass") for p in parts[1:])]
+
+    def learn(self, units: list[str | bytes]) -> None:
         """Ids of new units, in one suffix array."""
-        texts = [SPACE + u for u in units]
+        texts = [SPACE + u if type(u) is str else u.decode("utf-8", "surrogatepass") for u in units]
         sizes = np.array([len(t) for t in texts])
         starts = np.cumsum(sizes + 1) - sizes - 1
         # code points end to end, each unit closed by 0; a zero character itself has no piece and breaks edges too
@@ -209,6 +233,9 @@ class Codec:
         if len(self.known) > self.cap:
             self.known.clear()
         lists = [self._units(t) for t in texts]
+        for k, units in enumerate(lists):
+            if any(len(u) > LONG for u in units):
+                lists[k] = [part for u in units for part in (self.cut(u) if len(u) > LONG else [u])]
         new = list(set().union(*lists).difference(self.known))
         budget, part = 2 << 20, []
         size = 0

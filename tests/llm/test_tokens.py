@@ -187,6 +187,22 @@ def test_pieces_equal_the_library(spark, docs, odd):
     assert got == sorted((str(r.doc_id), len(x), crc(x)) for r in docs.select("doc_id", "text").collect() for x in [model.encode(r.text or "")])
 
 
+def test_long_texts_without_spaces():
+    import time
+
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(PIECES))
+    rng, codec = random.Random(4), Codec(Vocabulary.load(PIECES))
+    kinds = ["日本語文字列中国", "abcdefghij", "0123456789", "日a本b語c", "ab▁c\u00a0"]
+    texts = ["".join(rng.choice(k) for _ in range(n)) for k in kinds for n in (65, 200, 3000)]
+    assert [x.tolist() for x in codec.encode(texts)] == [model.encode(t) for t in texts]
+    began = time.process_time()
+    codec.encode(["".join(rng.choice(kinds[0]) for _ in range(300_000))])
+    assert time.process_time() - began < 6
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert not token_count.token_counts(empty, WORDS).collect()
