@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import Forest, components
-from .runtime import tidied, written
+from .runtime import drop_written, tidied, written
 
 #: Vectors a list that centroids and codes are fitted on; least and most lists (between them, the square root of the largest
 #: label's vectors); parts of a vector; codes of a part.
@@ -183,6 +183,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
         return pd.DataFrame({"node": node[own], "links": links[own], "star": node[up[own]]})
 
     found = written(cells.groupBy("label", "dim", "list", "kind", "low", "high").applyInPandas(compare, "node long, links long, star long"), "links")
+    drop_written(dealt)
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     stars = components(found.select(F.col("node").alias("a"), F.col("star").alias("b")))
     own = classes.select("k1", "k2", "node", "rep", "mult").join(counts, "node", "left").join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import Forest, components
-from .runtime import slices, tidied, written
+from .runtime import drop_written, slices, tidied, written
 from .words import WordTable, mix
 
 #: Counters of words, shared by words of one hash; a fixed size, whatever the input. An n-gram is as rare as its rarest word.
@@ -81,8 +81,8 @@ def _need(total: np.ndarray | int, percent: int):
 def rarity(docs: DataFrame) -> np.ndarray:
     """A level of 0 to 255 per counter, higher for counters of more words of all documents.
 
-    Tasks count in arrays of COUNTERS integers, sent in chunks of CHUNK and added in two steps, the first dealt by the
-    sender, so that no task gets a number of chunks that grows without bound. The driver gets COUNTERS bytes.
+    Tasks count in arrays of COUNTERS integers, sent in compressed chunks of CHUNK and added in two steps: a task of the
+    first adds one chunk of one in 256 of the tasks, a task of the second 256 sums. The driver gets COUNTERS bytes.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,6 +243,7 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFram
     least = met.groupBy("gram", "rung").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b < top").select("gram", "rung", "b")
     family = written(components(met.join(least, ["gram", "rung"]).select(F.col("rep").alias("a"), "b")), "families")
 
+    drop_written(met)
     reps = classes.select(F.col("rep").alias("node"), "first", "n", "h1", "h2")
     member = family.join(reps, "node").withColumn("rung", rung)
     load = F.greatest(F.count("*") / BLOCK, F.sum("n") / SHINGLES)  # in blocks

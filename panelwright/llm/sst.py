@@ -146,7 +146,7 @@ class ShardReader:
 def write_shards(docs: DataFrame, vocabulary: str, uri: str, end_id: int = 0) -> DataFrame:
     """Write (doc_id, text) as shards under `uri`; a row per shard: path, first_doc_id, last_doc_id, n_docs, n_ids.
 
-    Rows are dealt by ranges of doc_id, so shards in order of their first key hold all documents in order. A shard's name is
+    Rows are dealt by ranges of doc_id (those of one doc_id by a hash of the text, so that many repeats are split), so shards in order of their first key hold all documents in order. A shard's name is
     new for every attempt of a task and only those in the returned manifest count, so a lost executor or a second
     attempt leaves no wrong file in use. The manifest is written to the shared folder: shards are written once.
     """
@@ -170,7 +170,7 @@ def write_shards(docs: DataFrame, vocabulary: str, uri: str, end_id: int = 0) ->
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "first_doc_id": pa.array([id_of(writer.first)], pa.int64()), "last_doc_id": pa.array([id_of(writer.last)], pa.int64()), "n_docs": pa.array([writer.total], pa.int64()), "n_ids": pa.array([writer.ids], pa.int64())})
 
-    dealt = docs.select(docs["doc_id"].cast("long"), docs["text"]).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    dealt = docs.select(docs["doc_id"].cast("long"), docs["text"]).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
     return written(dealt.mapInArrow(tidied(write), "path string, first_doc_id long, last_doc_id long, n_docs long, n_ids long"), "sst-manifest")
 
 
