@@ -158,13 +158,16 @@ def pack_lengths(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
     return bin_of, offset
 
 
-def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids): each document's ids and the end id, cut only if over `size`."""
+def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0, with_ids: bool = False, cap: int = CAP, most_bytes: int = SLICE) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 (and ids): each document's ids and the end id, cut only if over `size`.
+
+    A worker keeps `cap` units and encodes `most_bytes` of texts at a time.
+    """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept(ByteEncoder, vocabulary, CAP, end_id)
-        for part in slices(batches, "text", SLICE):
+        encoder = kept(ByteEncoder, vocabulary, cap, end_id)
+        for part in slices(batches, "text", most_bytes):
             flat, lengths = encoder.stream(part.column("text"))
             n_pieces = -(-lengths // size)
             doc = np.repeat(np.arange(len(lengths)), n_pieces)
@@ -184,7 +187,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0,
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(tidied(cut), schema)
 
 
-def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0, group: int = GROUP, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0, group: int = GROUP, with_ids: bool = False, cap: int = CAP, most_bytes: int = SLICE) -> DataFrame:
     """Pack every document into sequences of at most `size` tokens; per piece its sequence_id and offset there.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids). A null text is empty: its end id is
@@ -193,7 +196,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0, gr
     document and piece (so a huge document is spread over groups) and packed group by group. Each group ends with at
     most a few bins that aren't full, which is what dealing costs: under 1 in 1,000 sequences at the default.
     """
-    cut = written(pieces(docs, vocabulary, size, end_id, with_ids), "pieces")
+    cut = written(pieces(docs, vocabulary, size, end_id, with_ids, cap, most_bytes), "pieces")
     n_groups = max(1, -(-cut.count() // group))
     keyed = cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_groups)))
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Units that a worker keeps; bytes of texts that it encodes at a time.
-CAP, SLICE = 300_000, 2 << 20
+CAP, SLICE = 500_000, 8 << 20
 
 
 def library(name: str):
