@@ -22,6 +22,12 @@ from .runtime import slices, tidied
 
 SPACE = "▁"
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+#: Bits of a place in the sieve that most questions for a merge of two pieces end at.
+SIEVE = 21
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SIEVE)
 
 
 @dataclass
@@ -38,6 +44,10 @@ class Vocabulary:
     byte_ids: np.ndarray
     usable: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.sieve = np.zeros(1 << SIEVE, bool)  # false where no key of a pair falls
+        self.sieve[_slot(self.pair_key)] = True
+
     @classmethod
     def load(cls, path: str) -> Vocabulary:
         import os
@@ -94,8 +104,12 @@ class Vocabulary:
     def merge_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of merging a with b, or a number above all ranks."""
         key = a * (len(self.text) + 1) + b
-        at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
-        return np.where(self.pair_key[at] == key, self.pair_rank[at], np.iinfo(np.int64).max)
+        out = np.full(len(key), np.iinfo(np.int64).max)
+        may = np.flatnonzero(self.sieve[_slot(key)])
+        at = np.minimum(np.searchsorted(self.pair_key, key[may]), len(self.pair_key) - 1)
+        real = self.pair_key[at] == key[may]
+        out[may[real]] = self.pair_rank[at[real]]
+        return out
 
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging leaves a and b, side by side, as they are. Equal to len(text) is a character without a piece."""
@@ -117,15 +131,23 @@ class Vocabulary:
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Places of `codes` ordered by their next `depth` codes, by prefix doubling."""
-    _, rank = np.unique(codes, return_inverse=True)
-    width = 1
+    """Places of `codes` ordered by their next `depth` codes: as many as fit into an integer at once, then by prefix doubling."""
+    seen = np.zeros(int(codes.max()) + 1, bool)
+    seen[codes] = True
+    rank = np.cumsum(seen)[codes]  # from 1; 0 is what lies beyond the end
+    bits = int(seen.sum()).bit_length()
+    width = min(depth, 62 // bits)
+    key = rank.copy()
+    for k in range(1, width):
+        key <<= bits
+        key[: max(0, len(key) - k)] |= rank[k:]
     while width < depth:
+        _, rank = np.unique(key, return_inverse=True)
         later = np.zeros(len(rank), np.int64)
-        later[: len(rank) - width] = rank[width:] + 1
-        _, rank = np.unique(rank * (int(rank.max()) + 2) + later, return_inverse=True)
+        later[: max(0, len(rank) - width)] = rank[width:] + 1
+        key = rank * (int(rank.max()) + 2) + later
         width *= 2
-    return np.argsort(rank, kind="stable")
+    return np.argsort(key)
 
 
 def occurrences(codes: np.ndarray, order: np.ndarray, pieces: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +183,7 @@ class Codec:
     no piece holds side by side, so that no merge crosses the cut.
     """
 
-    def __init__(self, vocabulary: Vocabulary, cap: int = 200_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, cap: int = 400_000) -> None:
         self.v, self.cap, self.known = vocabulary, cap, {}
         ids = np.flatnonzero(vocabulary.usable)
         ids = ids[np.argsort([len(vocabulary.text[i]) for i in ids], kind="stable")]
@@ -201,7 +223,7 @@ class Codec:
         extra = np.flatnonzero(lone)
         begin, end, token = np.concatenate([begin, extra]), np.concatenate([end, extra + 1]), np.concatenate([token, np.full(len(extra), len(self.v.text))])
         place = end - starts[owner[begin]]  # where an edge ends in its unit
-        sort = np.argsort(place, kind="stable")
+        sort = np.argsort(place.astype(np.uint16) if int(sizes.max()) < 1 << 16 else place, kind="stable")
         begin, end, token, place = begin[sort], end[sort], token[sort], place[sort]
         bounds = np.searchsorted(place, np.arange(1, int(sizes.max()) + 2))
         last = np.full(len(codes) + 1, -1, np.int64)  # the path's last piece at a place; -2 where a unit starts
@@ -215,31 +237,51 @@ class Codec:
             at = a + np.flatnonzero(good)
             if len(at):
                 last[end[at]], back[end[at]] = token[at], begin[at]
-        chains = [[] for _ in texts]
         at, on = starts + sizes, np.arange(len(texts))
+        steps = []  # from the units' ends back
         while len(on):
-            for i, t, e in zip(on.tolist(), last[at].tolist(), at.tolist(), strict=True):
-                if t == len(self.v.text):
-                    chains[i].extend(self.v.byte_ids[list(chr(codes[e - 1]).encode("utf-8", "surrogatepass"))[::-1]].tolist())
-                else:
-                    chains[i].append(t)
+            steps.append((on, last[at], at))
             at = back[at]
             more = at > starts[on]
             at, on = at[more], on[more]
-        for unit, chain in zip(units, chains, strict=True):
-            self.known[unit] = np.array(chain[::-1], np.uint16 if len(self.v.text) <= 1 << 16 else np.uint32).tobytes()
+        owner, token, end = (np.concatenate(c)[::-1] for c in zip(*steps, strict=True))
+        owner, token = self._spelled(owner, token, codes[end - 1])
+        dtype = self.dtype
+        flat = token[np.argsort(owner, kind="stable")].astype(dtype).tobytes()
+        ends = (np.cumsum(np.bincount(owner, minlength=len(texts))) * np.dtype(dtype).itemsize).tolist()
+        self.known.update(zip(units, map(flat.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+
+    def _spelled(self, owner: np.ndarray, token: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters without a piece (tokens equal to the vocabulary's size) replaced by the byte pieces of their codes."""
+        lone = np.flatnonzero(token == len(self.v.text))
+        if not len(lone):
+            return owner, token
+        kinds, kind = np.unique(code[lone], return_inverse=True)
+        spelled = [self.v.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))] for c in kinds.tolist()]
+        table = np.array([np.pad(x, (0, 4 - len(x))) for x in spelled])
+        times = np.ones(len(token), np.int64)
+        times[lone] = np.array([len(x) for x in spelled])[kind]
+        at = np.repeat(np.arange(len(token)), times)
+        nth = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+        row = np.full(len(token), -1, np.int64)
+        row[lone] = kind
+        return owner[at], np.where(row[at] >= 0, table[row[at], nth], token[at])
+
+    @property
+    def dtype(self) -> type:
+        return np.uint16 if len(self.v.text) <= 1 << 16 else np.uint32
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.cap:
             self.known.clear()
         lists = [self._units(t) for t in texts]
-        for k, units in enumerate(lists):
-            if any(len(u) > LONG for u in units):
-                lists[k] = [part for u in units for part in (self.cut(u) if len(u) > LONG else [u])]
-        new = list(set().union(*lists).difference(self.known))
+        new = set().union(*lists)
+        if cuts := {u: self.cut(u) for u in new if len(u) > LONG}:
+            lists = [units if cuts.keys().isdisjoint(units) else [part for u in units for part in cuts.get(u, (u,))] for units in lists]
+            new = new.difference(cuts).union(*cuts.values())
         budget, part = 2 << 20, []
         size = 0
-        for unit in sorted(new, key=len):
+        for unit in sorted(new.difference(self.known), key=len):
             part.append(unit)
             size += len(unit) + 2
             if size > budget:
@@ -247,7 +289,7 @@ class Codec:
                 part, size = [], 0
         if part:
             self.learn(part)
-        dtype = np.uint16 if len(self.v.text) <= 1 << 16 else np.uint32
+        dtype = self.dtype
         return [np.frombuffer(b"".join(map(self.known.__getitem__, units)), dtype) for units in lists]
 
     @staticmethod
