@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import matching
 from ..operators import rolling as R
 from ..sources.tables import table
 from .registry import query
@@ -144,3 +145,11 @@ def attempt_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.struct("ts", "event_id")
     valid = F.col("value") > 50
     return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max_by("value", at).alias("latest"), F.count("*").alias("attempts"), F.min_by(F.when(valid, F.col("event_id")), F.when(valid, at)).alias("first_valid"))
+
+
+@query()
+def quota_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four parts for every nation with suppliers, among the parts that they delivered, no part serving two nations; a matching has no SQL."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("key"))
+    parts = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_partkey").alias("item")).distinct()
+    return matching.quota_matching(parts.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("key", "item"), s.select("key"), 4)

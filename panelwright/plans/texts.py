@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.chunks import packed_paragraphs as packed
 from ..sources.tables import table
 from .registry import query
 
@@ -102,6 +103,12 @@ def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return starts.groupBy("doc_id", F.floor((F.col("reach") - F.length("part")) / 1000).alias("chunk")).agg(F.count("*").alias("paragraphs"), F.sum(F.length("part")).cast("long").alias("chars"))
 
 
+@query()
+def packed_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of whole paragraphs of at most 2000 characters, oversized paragraphs being cut; no SQL, as a chunk's start depends on all before it."""
+    return packed(docs_of(spark, sf_dir), 2000).select("doc_id", "chunk", F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
+
+
 @query("""SELECT conv_id, count(*) AS turns, CAST(max(turn) - min(turn) + 1 = count(*) AND count(DISTINCT turn) = count(*) AS INTEGER) AS contiguous, md5(string_agg(coalesce(role, '') || ':' || coalesce(text, ''), chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY 1 HAVING count(DISTINCT turn) = count(*)""")
 def chunk_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts put together in order, with a check that none is missing, and a digest of the whole."""
