@@ -219,6 +219,19 @@ class Labeller:
         return names, scores
 
 
+def first_by_hash(ids: DataFrame, n: int) -> DataFrame:
+    """The first `n` rows of `ids` (doc_id, ...) in the order of a hash, at most `n` rows on the driver.
+
+    Hashes are spread evenly, so about twice `n` rows lie below a cut at that share of their range, and those alone are
+    ordered: the task that merges gets as many, whatever the number of partitions. Should fewer than `n` lie there, as
+    repeated ids may bring about, all rows are ordered.
+    """
+    h, total = F.xxhash64("doc_id"), ids.count()
+    first = lambda rows: rows.orderBy(h, "doc_id").limit(n).collect()
+    found = first(ids.where(h <= (2 * n << 64) // total - (1 << 63))) if total > 4 * n else []
+    return ids.sparkSession.createDataFrame(found if len(found) == n else first(ids), ids.schema)
+
+
 def fitted(docs: DataFrame) -> Broadcast:
     """The field, fitted on a bounded sample of the rows that aren't held out: DOCS of all, and some of every language."""
     spark = docs.sparkSession
@@ -228,7 +241,7 @@ def fitted(docs: DataFrame) -> Broadcast:
     ids = known.select("doc_id", "lang")
     of_bucket = F.min(F.struct(order[0].alias("h"), "doc_id")).alias("first")  # partial minima: no task gets all rows of a language
     each = ids.groupBy("lang", F.pmod(order[0], F.lit(2 * EACH)).alias("bucket")).agg(of_bucket).select("first.doc_id", "lang")
-    picked = ids.orderBy(*order).limit(DOCS).union(each).distinct()
+    picked = first_by_hash(ids, DOCS).union(each).distinct()
     texts = known.withColumn("text", excerpt(F.col("text"), F.col("doc_id"), LONGEST)).join(F.broadcast(picked), ["doc_id", "lang"], "left_semi")
     found: pd.DataFrame = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).withColumn("order", F.xxhash64("doc_id")).toPandas()
     found = found.sort_values(["order", "doc_id", "lang"])
@@ -269,7 +282,7 @@ def least_score(docs: DataFrame, field: Field) -> float:
         return 0.0
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", excerpt(F.col("text"), F.col("doc_id").cast("long"), LONGEST).alias("text")).where((rest == 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    picked = held.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(HELD)
+    picked = first_by_hash(held.select("doc_id"), HELD)
     found = held.join(F.broadcast(picked.distinct()), "doc_id", "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toPandas()
     labeller, right = Labeller(field), []
     for at in range(0, len(found), 100):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from panelwright.llm import lang_id
@@ -53,3 +54,11 @@ def test_stage_rejects_texts_without_a_language(spark):
     passed = [bad[i - 10**6][:60] for i in kept if i >= 10**6]
     assert not passed
     assert sum(i in kept for i in own) >= 0.99 * len(own)
+
+
+def test_first_by_hash_is_the_ordered_limit(spark):
+    even = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("string").alias("lang"))
+    hot = even.where("doc_id < 30").union(even.where("doc_id = 7").crossJoin(spark.range(5000)).select("doc_id", "lang"))  # few ids, one of nearly all rows
+    for ids, n in [(even, 100), (even, 4999), (hot, 100), (even.limit(0), 10), (even.limit(7), 10)]:
+        want = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()
+        assert sorted(lang_id.first_by_hash(ids, n).collect()) == sorted(want)
