@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
@@ -62,10 +62,22 @@ _VIEWS = """WITH v AS (SELECT user_id, event_type, CASE WHEN hour(ts) < 12 THEN
  SELECT event_type, count(*) AS items, count(*) FILTER (WHERE a = b) AS agreed, count(*) FILTER (WHERE a IS NULL OR b IS NULL) AS single, round(avg(CASE WHEN a = b THEN 1.0 WHEN a IS NULL OR b IS NULL THEN NULL ELSE 0.0 END), 6) AS agreement FROM p GROUP BY 1"""
 
 
+def rounded_mean(value: Column, unit: int) -> Column:
+    """The mean in units, rounded half away from zero, by an exact sum: of doubles the order of addition decides ties.
+
+    Values that six decimals don't give back exactly are averaged as doubles.
+    """
+    exact = value.try_cast("decimal(18,6)")
+    whole = F.bool_and(F.coalesce(exact.cast("double") == value, value.isNull()))
+    total, n = F.sum(exact), F.count(value)
+    halves = F.abs(total) + F.abs(total) + n * unit
+    return F.when(n > 0, F.when(whole, F.signum(total) * F.call_function("div", halves, n * (2 * unit))).otherwise(F.round(F.avg(value) / unit)))
+
+
 @query(_VIEWS)
 def adjudicate_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two views of an item side by side: how often their labels agree."""
-    v = events(spark, sf_dir).groupBy("user_id", "event_type", F.when(F.hour("ts") < 12, "a").otherwise("b").alias("view")).agg(F.round(F.avg("value") / 50).alias("label"))
+    v = events(spark, sf_dir).groupBy("user_id", "event_type", F.when(F.hour("ts") < 12, "a").otherwise("b").alias("view")).agg(rounded_mean(F.col("value"), 50).alias("label"))
     p = v.groupBy("user_id", "event_type").pivot("view", ["a", "b"]).agg(F.max("label"))
     same, single = F.col("a") == F.col("b"), F.col("a").isNull() | F.col("b").isNull()
     return p.groupBy("event_type").agg(F.count("*").alias("items"), F.count_if(same).alias("agreed"), F.count_if(single).alias("single"), F.round(F.avg(F.when(~single, same.cast("double"))), 6).alias("agreement"))
