@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .components import Forest, components
 from .runtime import drop_written, slices, tidied, written
+from .units import kept
 from .words import WordTable, mix
 
 #: Counters of words, shared by words of one hash; a fixed size, whatever the input. An n-gram is as rare as its rarest word.
@@ -24,6 +25,8 @@ COUNTERS = 1 << 21
 CHUNK = 1 << 15
 #: Documents, and shingles of them, that one task compares; larger families are cut into blocks by length and by a hash.
 BLOCK, SHINGLES = 8192, 1 << 21
+#: Classes that share an n-gram on a rung, up to which they are met in pairs; more are met by a star.
+LIST = 16
 #: Bytes of text that a task holds as words at a time.
 SLICE = 1 << 21
 
@@ -34,13 +37,9 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-_TABLE: list[WordTable] = []
-
-
 def _table() -> WordTable:
-    if not _TABLE:
-        _TABLE.append(WordTable(_hashes, cap=150_000))
-    return _TABLE[0]
+    """One a worker, between tasks, until another stage's cache takes its place."""
+    return kept(WordTable, _hashes, 150_000)
 
 
 def shingles(texts: list[str | None], n: int, levels: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -196,6 +195,30 @@ def _once(rows: DataFrame, key: str, repeated: DataFrame) -> DataFrame:
     return rows.join(repeated, key, "left_anti").unionByName(rows.join(repeated, key, "left_semi").dropDuplicates([key]))
 
 
+def _met_edges(met: DataFrame, percent: int) -> DataFrame:
+    """(a, b) edges whose components hold every link of `met` (gram, rep, n, own, rung): who shares a prefix n-gram on a rung.
+
+    Elements common to two sets up to the lesser of their prefixes' ends are in both prefixes, and at most the rest of
+    the set with that prefix follows; so a pair's overlap is at most the n-grams that it shares here, and the longer
+    rest. N-grams of more than LIST classes aren't paired: the lesser number that the two have of them is added.
+    """
+    lists = met.groupBy("gram", "rung").agg(F.min("rep").alias("b"), F.max("rep").alias("top"), F.count("*").alias("k")).where("b < top").select("gram", "rung", "b", "k")
+    listed = met.join(lists, ["gram", "rung"])
+    large = listed.where(F.col("k") > LIST)
+    # the rungs of a pair's own lengths meet on the higher of them alone, so there each n-gram counts once
+    both = f"""flatten(transform(l, x -> transform(filter(l, y -> y.rep > x.rep and greatest(x.own, y.own) = rung
+        and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)), y -> struct(x.rep as a, y.rep as b, x.n as na, y.n as nb))))"""
+    small = listed.where(F.col("k") <= LIST).groupBy("gram", "rung").agg(F.collect_list(F.struct("rep", "n", "own")).alias("l"))
+    pairs = small.select("rung", F.explode(F.expr(both)).alias("p")).groupBy("rung", "p.a", "p.b", "p.na", "p.nb").agg(F.count("*").alias("c"))
+    more = large.groupBy("rep", "rung").agg(F.count("*").alias("more"))
+    of = lambda side: more.select(F.col("rep").alias(side), "rung", F.col("more").alias(f"more_{side}"))
+    pairs = pairs.join(of("a"), ["a", "rung"], "left").join(of("b"), ["b", "rung"], "left")
+    known = F.col("c") + F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0)))
+    rest = F.expr(f"({percent} * greatest(na, nb) + 99) div 100 - 1")
+    need = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
+    return pairs.where(known + rest >= need).select("a", "b").union(large.select(F.col("rep").alias("a"), "b"))
+
+
 def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs` (doc_id, text; other columns are ignored).
 
@@ -206,8 +229,9 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
     Plan: equal sets become a class, represented by its row of the least doc_id, by partial minima. Each class deals out the
     prefix of its set, rarest shingles first. Two sets that link share a prefix shingle and stand on one rung of a
-    ladder of lengths or on neighbouring ones, so both are joined with the least class that has this shingle there, and
-    the components of that join are families that hold every link. Families are compared in tasks of bounded blocks, by
+    ladder of lengths or on neighbouring ones. Where at most LIST classes share one there, they are paired, and a pair
+    joins if the shingles that both prefixes hold, and what can follow them, reach the overlap that a link needs; where
+    more do, all are joined with the least of them. The components of that join are families that hold every link. Families are compared in tasks of bounded blocks, by
     rungs and within one by a hash; they return stars, at most a row a document. Exact copies are never paired, nor pairs of one component verified again,
     so no pair is ever a row. The driver holds COUNTERS bytes.
     """
@@ -229,22 +253,26 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFram
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.list_(pa.int64()))], ["doc_id", "key", "n_shingles", "h1", "h2", "prefix"])
 
-    sets = written(docs.mapInArrow(tidied(prefixes), "doc_id long, key long, n_shingles long, h1 long, h2 long, prefix array<long>"), "sets")
+    prefixed = written(docs.mapInArrow(tidied(prefixes), "doc_id long, key long, n_shingles long, h1 long, h2 long, prefix array<long>"), "prefixed")
+    sets = written(prefixed.drop("prefix"), "sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    classes = sets.where("n_shingles > 0").groupBy("h1", "h2").agg(first.alias("first"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
+    classes = prefixed.where("n_shingles > 0").groupBy("h1", "h2").agg(first.alias("first"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
     classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    drop_written(prefixed)
     repeated = sets.where("n_shingles > 0").groupBy("key").count().where("count > 1").select("key")
     # a link bridges at most one rung of this ladder of lengths
     step = float(np.log(100 / percent)) * (1 + 1e-9)
     rung = F.floor(F.log("n") / step).cast("int")
     grams = classes.select("rep", "n", F.explode("prefix").alias("gram"))
     shared = grams.groupBy("gram").agg(F.min("rep").alias("least"), F.max("rep").alias("top")).where("least < top").select(F.col("gram").alias("g"))
-    met = written(grams.join(shared, F.col("gram") == F.col("g")).select("gram", "rep", F.explode(F.array(rung, rung + 1)).alias("rung")), "met")
-    least = met.groupBy("gram", "rung").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b < top").select("gram", "rung", "b")
-    family = written(components(met.join(least, ["gram", "rung"]).select(F.col("rep").alias("a"), "b")), "families")
-
+    met = written(grams.join(shared, F.col("gram") == F.col("g")).select("gram", "rep", "n", rung.alias("own"), F.explode(F.array(rung, rung + 1)).alias("rung")), "met")
+    reps = written(classes.select(F.col("rep").alias("node"), "first", "n", "h1", "h2"), "reps")
+    drop_written(classes)  # prefixes are read no more
+    edges = written(_met_edges(met, percent), "met-edges")
     drop_written(met)
-    reps = classes.select(F.col("rep").alias("node"), "first", "n", "h1", "h2")
+    family = written(components(edges), "families")
+    drop_written(edges)
+
     member = family.join(reps, "node").withColumn("rung", rung)
     load = F.greatest(F.count("*") / BLOCK, F.sum("n") / SHINGLES)  # in blocks
     sizes = member.groupBy("component", "rung").agg(load.alias("k")).groupBy("component").agg(F.sum("k").alias("whole"), F.max("k").alias("most"))

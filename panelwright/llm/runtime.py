@@ -34,10 +34,15 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: write `df` as Parquet to the shared folder and read it back. Survives lost executors."""
+    """Cut the lineage: write `df` as Parquet to the shared folder and read it back. Survives lost executors.
+
+    Shuffle files of what was written go as soon as the driver has collected its garbage, which it is asked to here:
+    else they would lie on the disk until its heap happens to be full.
+    """
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.parquet(path)
+    spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._panelwright_path = path
     return out
