@@ -38,8 +38,11 @@ def publisher_host(c: Column) -> Column:
 
 
 def literal_present(text: Column, phrase: str) -> Column:
-    """The phrase between characters that are no ASCII letters or digits, case-sensitively."""
-    return text.rlike(rf"(^|[^A-Za-z0-9]){phrase}([^A-Za-z0-9]|$)")
+    """The phrase between characters that are no ASCII letters or digits, case-sensitively.
+
+    Texts without the phrase are told by their bytes; the others are searched for the phrase first, then for its neighbours.
+    """
+    return text.contains(phrase) & text.rlike(rf"{phrase}(?![A-Za-z0-9])(?<![A-Za-z0-9]{phrase})")
 
 
 def length_stratum(c: Column) -> Column:
