@@ -25,6 +25,8 @@ COUNTERS = 1 << 21
 CHUNK = 1 << 15
 #: Documents, and shingles of them, that one task compares; larger families are cut into blocks by length and by a hash.
 BLOCK, SHINGLES = 8192, 1 << 21
+#: Shingles of the documents whose marks one task compares; at 80 % a mark takes 1 to 2 bits a shingle.
+MARKED = 1 << 25
 #: Classes that share an n-gram on a rung, up to which they are met in pairs; more are met by a star.
 LIST = 16
 #: Bytes of text that a task holds as words at a time.
@@ -183,6 +185,49 @@ def linked_blocks(sets: list[np.ndarray], side: np.ndarray, percent: int) -> For
     return forest
 
 
+def mark(s: np.ndarray, percent: int) -> bytes:
+    """The parities of a set's numbers by their low bits: of two sets, at most as many differ as there are elements that one
+    set has alone. As many bits as tell unrelated sets apart, a power of two, 64 at least; a half folds onto the other."""
+    bits = 64
+    while bits * (100 + percent) < 9 * (100 - percent) * len(s):
+        bits *= 2
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def near_blocks(marks: list[bytes], sizes: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
+    """Per set the least place (by length) of those that it reaches by pairs whose marks allow a link; sides as in linked_blocks."""
+    order = np.argsort(sizes, kind="stable")
+    n, side = sizes[order].astype(np.int64), side[order]
+    words = np.array([len(marks[k]) // 8 for k in order], np.int64)  # ascending, as lengths are
+    kinds = {}
+    for w in np.unique(words).tolist():
+        lo, hi = np.searchsorted(words, [w, w + 1]).tolist()
+        kinds[w] = lo, hi, np.frombuffer(b"".join(marks[k] for k in order[lo:hi]), np.uint64).reshape(-1, w)
+    label = np.arange(len(n))
+    for i, first in enumerate(np.searchsorted(n, -(-percent * n // 100)).tolist()):
+        own = kinds[int(words[i])]
+        x, found = own[2][i - own[0]], []
+        for w in sorted((w for w in kinds if w <= words[i]), reverse=True):
+            lo, hi, rows = kinds[w]
+            while len(x) > w:
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            js = np.arange(max(lo, first), min(hi, i))
+            if side[i] in (0, 1, 4):
+                js = js[side[js] != side[i]]
+            if len(js):
+                total = n[js] + n[i]
+                y = rows[js - lo] if len(js) <= js[-1] - js[0] else rows[js[0] - lo : js[-1] + 1 - lo]
+                found.append(js[np.bitwise_count(y ^ x).sum(axis=1, dtype=np.int64) <= total - 2 * _need(total, percent)])
+        if found:
+            joined = np.unique(np.append(label[np.concatenate(found)], label[i]))
+            for k in joined[1:].tolist():
+                label[label == k] = joined[0]
+    out = np.empty(len(n), np.int64)
+    out[order] = order[label]
+    return out
+
+
 def _key(docs: DataFrame):
     """Tells rows apart by doc_id and text."""
     return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
@@ -219,6 +264,29 @@ def _met_edges(met: DataFrame, percent: int) -> DataFrame:
     return pairs.where(known + rest >= need).select("a", "b").union(large.select(F.col("rep").alias("a"), "b"))
 
 
+def _sized(member: DataFrame, shingles: int) -> DataFrame:
+    """`member` (component, rung, n and more) with the blocks of its family in all and of the family's fullest rung."""
+    load = F.greatest(F.count("*") / BLOCK, F.sum("n") / shingles)
+    sizes = member.groupBy("component", "rung").agg(load.alias("k")).groupBy("component").agg(F.sum("k").alias("whole"), F.max("k").alias("most"))
+    return member.join(sizes, "component")
+
+
+def _cells(member: DataFrame, *more: str) -> DataFrame:
+    """node, component, key and more columns of sized members, once for each task (component, low, high) that compares them, with a side."""
+    # one block for a small family; else by rung, whose neighbours alone can link, and by a hash
+    salts = F.ceil("most").cast("int")
+    small = F.col("whole") <= 1
+    member = member.select("node", "component", "key", *more, small.alias("small"), salts.alias("salts"), F.when(small, 0).otherwise(F.col("rung")).alias("rung"), F.when(small, 0).otherwise(F.pmod(F.xxhash64("node"), salts)).cast("int").alias("salt"))
+    # a task holds one family; or a rung and the rung above; or two blocks of one rung or of neighbouring ones
+    here = F.struct("rung", "salt")
+    cell = lambda low, high, side: F.struct(low.alias("low"), high.alias("high"), side.alias("side"))
+    at = lambda r: F.struct(r.alias("rung"), F.lit(0).alias("salt"))
+    blocks = F.flatten(F.transform(F.array(F.col("rung") - 1, F.col("rung"), F.col("rung") + 1), lambda r: F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda k: F.struct(r.alias("rung"), k.cast("int").alias("salt")))))
+    cells = F.when(F.col("small"), F.array(cell(here, here, F.lit(2)))).when(F.col("salts") == 1, F.array(cell(here, at(F.col("rung") + 1), F.lit(3)), cell(at(F.col("rung") - 1), here, F.lit(4))))
+    cells = cells.otherwise(F.transform(blocks, lambda o: cell(F.least(here, o), F.greatest(here, o), F.when(here == o, 2).when(here < o, 0).otherwise(1))))
+    return member.select("node", "component", "key", *more, F.explode(cells).alias("c")).select("node", "component", "key", *more, "c.*")
+
+
 def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs` (doc_id, text; other columns are ignored).
 
@@ -232,7 +300,9 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     ladder of lengths or on neighbouring ones. Where at most LIST classes share one there, they are paired, and a pair
     joins if the shingles that both prefixes hold, and what can follow them, reach the overlap that a link needs; where
     more do, all are joined with the least of them. The components of that join are families that hold every link. Families are compared in tasks of bounded blocks, by
-    rungs and within one by a hash; they return stars, at most a row a document. Exact copies are never paired, nor pairs of one component verified again,
+    rungs and within one by a hash; they return stars, at most a row a document. A family beyond a block, which may be a chain
+    of chance, is first taken apart by marks, parities of a set's hashes that bound the overlap of two from above: pairs that
+    they allow make its families, and only those texts are dealt out. Exact copies are never paired, nor pairs of one component verified again,
     so no pair is ever a row. The driver holds COUNTERS bytes.
     """
     return _grouped(docs, n, percent)[0].select("doc_id", "n_shingles", "component_id")
@@ -249,14 +319,14 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFram
             rows: list[tuple] = []
             for s, ordered in shingles(part.column("text").to_pylist(), n, levels.value):
                 head = ordered[: len(s) - -(-percent * len(s) // 100) + 1] if len(s) else s
-                rows.append((len(s), *_set_hash(s), head.view(np.int64)))
+                rows.append((len(s), *_set_hash(s), head.view(np.int64), mark(s, percent)))
             columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.list_(pa.int64()))], ["doc_id", "key", "n_shingles", "h1", "h2", "prefix"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.list_(pa.int64())), pa.array(columns[4], pa.binary())], ["doc_id", "key", "n_shingles", "h1", "h2", "prefix", "mark"])
 
-    prefixed = written(docs.mapInArrow(tidied(prefixes), "doc_id long, key long, n_shingles long, h1 long, h2 long, prefix array<long>"), "prefixed")
-    sets = written(prefixed.drop("prefix"), "sets")
+    prefixed = written(docs.mapInArrow(tidied(prefixes), "doc_id long, key long, n_shingles long, h1 long, h2 long, prefix array<long>, mark binary"), "prefixed")
+    sets = written(prefixed.drop("prefix", "mark"), "sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    classes = prefixed.where("n_shingles > 0").groupBy("h1", "h2").agg(first.alias("first"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
+    classes = prefixed.where("n_shingles > 0").groupBy("h1", "h2").agg(first.alias("first"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("mark").alias("mark"))
     classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     drop_written(prefixed)
     repeated = sets.where("n_shingles > 0").groupBy("key").count().where("count > 1").select("key")
@@ -266,29 +336,30 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFram
     grams = classes.select("rep", "n", F.explode("prefix").alias("gram"))
     shared = grams.groupBy("gram").agg(F.min("rep").alias("least"), F.max("rep").alias("top")).where("least < top").select(F.col("gram").alias("g"))
     met = written(grams.join(shared, F.col("gram") == F.col("g")).select("gram", "rep", "n", rung.alias("own"), F.explode(F.array(rung, rung + 1)).alias("rung")), "met")
-    reps = written(classes.select(F.col("rep").alias("node"), "first", "n", "h1", "h2"), "reps")
+    reps = written(classes.select(F.col("rep").alias("node"), "first", "n", "h1", "h2", "mark"), "reps")
     drop_written(classes)  # prefixes are read no more
     edges = written(_met_edges(met, percent), "met-edges")
     drop_written(met)
     family = written(components(edges), "families")
     drop_written(edges)
 
-    member = family.join(reps, "node").withColumn("rung", rung)
-    load = F.greatest(F.count("*") / BLOCK, F.sum("n") / SHINGLES)  # in blocks
-    sizes = member.groupBy("component", "rung").agg(load.alias("k")).groupBy("component").agg(F.sum("k").alias("whole"), F.max("k").alias("most"))
-    member = member.join(sizes, "component")
-    # one block for a small family; else by rung, whose neighbours alone can link, and by a hash
-    salts = F.ceil("most").cast("int")
-    small = F.col("whole") <= 1
-    member = member.select("node", "component", F.col("first.key").alias("key"), small.alias("small"), salts.alias("salts"), F.when(small, 0).otherwise(F.col("rung")).alias("rung"), F.when(small, 0).otherwise(F.pmod(F.xxhash64("node"), salts)).cast("int").alias("salt"))
-    # a task holds one family; or a rung and the rung above; or two blocks of one rung or of neighbouring ones
-    here = F.struct("rung", "salt")
-    cell = lambda low, high, side: F.struct(low.alias("low"), high.alias("high"), side.alias("side"))
-    at = lambda r: F.struct(r.alias("rung"), F.lit(0).alias("salt"))
-    blocks = F.flatten(F.transform(F.array(F.col("rung") - 1, F.col("rung"), F.col("rung") + 1), lambda r: F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda k: F.struct(r.alias("rung"), k.cast("int").alias("salt")))))
-    cells = F.when(F.col("small"), F.array(cell(here, here, F.lit(2)))).when(F.col("salts") == 1, F.array(cell(here, at(F.col("rung") + 1), F.lit(3)), cell(at(F.col("rung") - 1), here, F.lit(4))))
-    cells = cells.otherwise(F.transform(blocks, lambda o: cell(F.least(here, o), F.greatest(here, o), F.when(here == o, 2).when(here < o, 0).otherwise(1))))
-    dealt = member.select("node", "component", "key", F.explode(cells).alias("c")).select("node", "component", "key", "c.*")
+    member = _sized(family.join(reps.select("node", F.col("first.key").alias("key"), "n"), "node").withColumn("rung", rung), SHINGLES)
+    large = written(member.where("whole > 1").select("node", "component", "key", "n", "rung"), "large")
+    if not large.isEmpty():
+
+        def near(rows: pd.DataFrame) -> pd.DataFrame:
+            node = rows["node"].to_numpy()
+            up = near_blocks([bytes(m) for m in rows["mark"]], rows["n"].to_numpy(), rows["side"].to_numpy(), percent)
+            moved = np.flatnonzero(up != np.arange(len(up)))
+            return pd.DataFrame({"a": node[moved], "b": node[up[moved]]})
+
+        marked = _cells(_sized(large, MARKED), "n").join(reps.select("node", "mark"), "node")
+        allowed = components(marked.groupBy("component", "low", "high").applyInPandas(near, "a long, b long"))
+        family, chained = written(family.join(large.select("node"), "node", "left_anti").unionByName(allowed), "near-families"), family
+        drop_written(chained)
+        member = _sized(family.join(reps.select("node", F.col("first.key").alias("key"), "n"), "node").withColumn("rung", rung), SHINGLES)
+    drop_written(large)
+    dealt = _cells(member)
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):  # the shuffle carries each text in a third of its bytes
